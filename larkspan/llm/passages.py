@@ -32,6 +32,7 @@ before and after nothing: they are kept whole. Other columns pass through.
 
 from __future__ import annotations
 
+import re
 from functools import partial
 
 import ahocorasick
@@ -48,6 +49,7 @@ from larkspan.llm.common import map_columns, materialise, small_batches
 SIZE, GRAM = 50, 25
 #: Distinct words that one automaton's alphabet has room for (private and later planes of Unicode).
 ALPHABET = 0x110000 - 0x10000
+_BLANKS = re.compile("([\x20\x09-\x0d]+)")
 
 
 def _mix(x: np.ndarray, m: int) -> np.ndarray:
@@ -192,28 +194,48 @@ def shards(words: list[list[bytes]]) -> list[tuple[int, int]]:
     return [*out, (start, len(words))]
 
 
-def _remove(batches, text: int, schema: pa.Schema):
+def _cut(text: str, gone: np.ndarray) -> str:
+    """``text`` without some words and the blanks after them."""
+    parts = _BLANKS.split(text)
+    first = 0 if parts[0] else 2  # a text can begin with blanks
+    gone = gone.tolist()
+    out = [] if first == 0 else parts[1:2]
+    for i, at in enumerate(range(first, first + 2 * len(gone), 2)):
+        if not gone[i]:
+            out += parts[at : at + 2]
+    return "".join(out)
+
+
+def _remove(batches, text: int, schema: pa.Schema, layout: bool):
     for b in batches:
         *columns, keys, spots = b.columns
         keys, spots = keys.to_pylist(), spots.to_pylist()
-        words = [t.encode().split() if t else [] for t in columns[text].to_pylist()]
+        texts = columns[text].to_pylist()
+        words = [t.encode().split() if t else [] for t in texts]
         gone: list[np.ndarray] = []
         for i, j in shards(words):
             if any(spots[i:j]):
                 gone += covered(words[i:j], keys[i:j], spots[i:j])
             else:
                 gone += [np.zeros(len(w), dtype=bool) for w in words[i:j]]
-        kept = [b" ".join(w if not g.any() else [x for x, y in zip(w, g.tolist(), strict=True) if not y]).decode() for w, g in zip(words, gone, strict=True)]
+        if layout:
+            kept = [t if not g.any() else _cut(t, g) for t, g in zip(texts, gone, strict=True)]
+        else:
+            kept = [b" ".join(w if not g.any() else [x for x, y in zip(w, g.tolist(), strict=True) if not y]).decode() for w, g in zip(words, gone, strict=True)]
         columns[text] = pa.array(kept, type=schema.field(text).type)
         made = [*columns, pa.array(map(len, words), type=pa.int64()), pa.array([int(g.sum()) for g in gone], type=pa.int64())]
         yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(made, schema, strict=True)], schema=schema)
 
 
-def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """All columns of ``df`` with the kept words in ``text``, then _n_words and _n_removed."""
+def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", layout: bool = False) -> DataFrame:
+    """All columns of ``df`` with the kept words in ``text``, then _n_words and _n_removed.
+
+    Words are joined by one space; with ``layout`` they keep the blanks after them, and
+    texts that lose nothing stay as they are (null too).
+    """
     small_batches(df.sparkSession)
     keyed = df.withColumns({"_id": F.col(key).cast("long"), "_hash": F.xxhash64(text)})
     spots = confirmed(keyed.select("_id", "_hash", F.col(text).alias("_text")))
     joined = keyed.join(spots, ["_id", "_hash"], "left").select(*df.columns, "_id", "_spots")
     out = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema] + [T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType())])
-    return joined.mapInArrow(partial(_remove, text=df.columns.index(text), schema=to_arrow_schema(out)), out)
+    return joined.mapInArrow(partial(_remove, text=df.columns.index(text), schema=to_arrow_schema(out), layout=layout), out)

@@ -19,9 +19,9 @@ scores; an empty table gives an empty result; all other columns are kept.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from functools import lru_cache, partial
+from operator import and_, eq
 
 import numpy as np
 import pyarrow as pa
@@ -36,32 +36,52 @@ from larkspan.llm.spotsigs import ANCHORS
 
 #: Documents that the scorer is fitted on, at most; buckets of the hashed features.
 SAMPLE, BUCKETS = 20_000, 1 << 14
+#: Documents with this score and more are accepted.
+KEEP = 0.5
 LABELLERS = ("symbols", "capitals", "repeats", "runs", "variety", "bare marks", "common words", "sentences", "word length")
-_SYMBOL = re.compile(r"[^\w\s.,;:!?'\"()\-–—«»„“”‘’¿¡/@]")
-_MARK = re.compile(r"[^\w]+")
+#: Marks of ordinary prose; all other marks are symbols.
+_PROSE = ".,;:!?'\"()-–—«»„“”‘’¿¡/@_"
+
+
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """A byte for each code point: A, a, 0, a blank, or the mark (beyond ASCII: ~ for prose, ^ for symbols)."""
+    out = np.full(0x110000, ord("^"), dtype=np.uint8)
+    for i in range(0x110000):
+        c = chr(i)
+        if c.isalpha():
+            out[i] = 65 if c.isupper() else 97
+        elif c.isspace():
+            out[i] = 32
+        elif c.isdigit():
+            out[i] = 48
+        elif i < 128:
+            out[i] = i if i > 32 else 94
+        elif c in _PROSE:
+            out[i] = 126
+    return out
+
 
+_KIND = np.zeros(256, dtype=np.uint8)  # 1 letter or digit, 2 symbol, 3 stop mark, 4 blank
+_KIND[list(b"Aa0")] = 1
+_KIND[[i for i in range(33, 127) if not chr(i).isalnum() and chr(i) not in _PROSE + "~"]] = 2
+_KIND[list(b".!?")] = 3
+_KIND[32] = 4
 
-@lru_cache(maxsize=200_000)
-def facts(word: str) -> tuple[str, int, int, int, int, int]:
-    """Shape, letters, capitals, symbols, stop marks, and whether it is marks alone.
 
-    The shape has runs of letters and digits as one sign each and marks as they are;
-    common words are their own shape.
+def shapes(text: str) -> tuple[Counter, int, int, int, int]:
+    """Word shapes with their numbers; letters, capitals, symbols and stop marks of the text.
+
+    A shape has runs of letters and digits as one sign each and marks as they are.
     """
-    if word.isalpha() and word[1:].islower() and (low := word.lower()) not in ANCHORS:  # most words
-        capital = word[0].isupper()
-        return "Aa" if capital else "a", len(word), int(capital), 0, 0, 0
-    stops = word.count(".") + word.count("!") + word.count("?")
-    letters, capitals, symbols = sum(map(str.isalpha, word)), sum(map(str.isupper, word)), len(_SYMBOL.findall(word))
-    low = word.lower().strip(".,;:!?\"'()")
-    if low in ANCHORS and word[-1].isalnum():
-        return f"={low}", letters, capitals, symbols, stops, 0
-    out = ""
-    for c in word[:200]:
-        k = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
-        if k != out[-1:] or k not in "Aa0":
-            out += k
-    return out[:12], letters, capitals, symbols, stops, int(not word[0].isalnum() and _MARK.fullmatch(word) is not None)
+    c = _classes()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+    raw = c.tobytes()
+    kinds = raw.translate(_KIND.tobytes())
+    keep = np.frombuffer(kinds, dtype=np.uint8) != 1
+    keep[1:] |= c[1:] != c[:-1]
+    keep[:1] = True
+    n = [kinds.count(k) for k in (1, 2, 3)]
+    return Counter(c[keep].tobytes().split()), n[0] - raw.count(b"0"), raw.count(b"A"), n[1], n[2]
 
 
 def _vote(x: float, bad: float, good: float) -> int:
@@ -71,24 +91,24 @@ def _vote(x: float, bad: float, good: float) -> int:
 
 def describe(text: str) -> tuple[list[int], Counter, int]:
     """Votes, counts of features, words."""
-    words = text.split()
+    words = text.lower().split()
     n = len(words)
     counts = Counter(words)
-    same = list(map(str.__eq__, words, words[1:]))
+    same = list(map(eq, words, words[1:]))
     repeats = sum(same)
     # three times the same word on end, and more
-    runs = sum(map(bool.__and__, same, same[1:]))
+    runs = sum(map(and_, same, same[1:])) if repeats > 1 else 0
+    found, letters, capitals, symbols, stops = shapes(text)
     features: Counter = Counter()
-    letters = capitals = symbols = stops = bare = common = 0
-    for w, v in counts.items():
-        f, a, b, c, d, e = facts(w)
-        features[f] += v
-        letters += a * v
-        capitals += b * v
-        symbols += c * v
-        stops += d * v
-        bare += e * v
-        common += v if f[0] == "=" else 0
+    bare = 0
+    for s, v in found.items():
+        features[s[:12].decode()] += v
+        if s[0] not in b"Aa0" and not any(x in s for x in (b"A", b"a", b"0")):
+            bare += v
+    common = 0
+    for w in ANCHORS & counts.keys():
+        common += counts[w]
+        features[f"={w}"] = counts[w]
     features["<again>"], features["<run>"] = repeats, runs
     # a share of new words that falls with length even in good texts
     variety = len(counts) / n**0.8
@@ -107,12 +127,17 @@ def describe(text: str) -> tuple[list[int], Counter, int]:
     return votes, features, n
 
 
+@lru_cache(maxsize=100_000)
+def _hash(feature: str) -> int:
+    return xxhash.xxh32_intdigest(feature)
+
+
 def hashed(features: Counter, n: int) -> dict[int, float]:
     out: dict[int, float] = {}
     for f, v in features.items():
         if not v:
             continue
-        h = xxhash.xxh32_intdigest(f)
+        h = _hash(f)
         i = h % BUCKETS
         out[i] = out.get(i, 0.0) + (1 if h >> 31 else -1) * (v / n) ** 0.5
     return out
@@ -215,3 +240,8 @@ def scored(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFrame
     model = fit(df, text, sample)
     out = T.StructType([*df.schema.fields, T.StructField("_score", T.DoubleType())])
     return df.mapInArrow(partial(_score, model=model, text=df.columns.index(text), schema=to_arrow_schema(out)), out)
+
+
+def accepted(df: DataFrame, text: str = "text", least: float = KEEP) -> DataFrame:
+    """The rows of ``df`` whose text is scored ``least`` or more."""
+    return scored(df, text).where(F.col("_score") >= least).select(*df.columns)

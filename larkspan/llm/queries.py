@@ -11,17 +11,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspan.llm import bpe, packing, passages, pivots, secrets, simhash
+from larkspan.llm import bpe, packing, passages, pii, pivots, quality, secrets, simhash, spotsigs, wrappers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), bpe.public_path("byte_bpe_50k.tiktoken"), bpe.public_pattern())
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.scored(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("_score").alias("score"), (F.col("_score") >= quality.KEEP).alias("accepted"))
+
+
 def op4_pivot_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -39,6 +48,14 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), bpe.public_path("byte_bpe_multi_50k.tiktoken"), bpe.public_pattern())
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.adjacent(table(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 

@@ -15,7 +15,7 @@ counted by length band and p-value bin (at most ``BANDS`` x ``BINS`` rows). The
 upper half of the bins gives the level of random strings; what a bin has beyond
 that level are others. In each band the least p-value is found from which on at
 most ``FDR`` of the strings are others; strings below it are left alone. The
-table of limits has at most ``BANDS`` rows, so it is broadcast.
+``BANDS`` limits at most are gathered and stand in the plan as literals.
 
 Positions come from splitting at the matches and summing the lengths, in code
 points. Prefix sums go by blocks, so a text with very many matches costs little
@@ -129,8 +129,8 @@ def candidates(df: DataFrame, text: str, name: str = "_random") -> DataFrame:
 
 def limits(counts: DataFrame) -> DataFrame:
     """(band, least bin that is flagged) from (band, bin, n), over all documents."""
-    every = counts.sparkSession.range(BINS).select(F.col("id").cast("int").alias("bin"))
-    full = counts.select("band").distinct().crossJoin(F.broadcast(every)).join(counts, ["band", "bin"], "left").fillna(0, "n")  # BANDS x BINS rows at most
+    every = counts.select("band").distinct().select("band", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))).alias("bin"))
+    full = every.join(counts, ["band", "bin"], "left").fillna(0, "n")  # BANDS x BINS rows at most
     level = full.where(F.col("bin") >= BINS // 2).groupBy("band").agg((F.sum("n") / (BINS // 2)).alias("level"))
     held = full.groupBy("band").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("all")).join(level, "band")
     above = lambda b: F.aggregate(F.filter("all", lambda x: x["bin"] >= b), F.lit(0).cast("double"), lambda s, x: s + x["n"])
@@ -143,11 +143,12 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     own = df.columns
     whole = df.withColumn("_text", F.coalesce(F.col(text).cast("string"), F.lit("")))
     counts = candidates(whole.select("_text"), "_text").where("_random is not null").select(F.explode("_random").alias("c")).groupBy("c.band", "c.bin").agg(F.count("*").alias("n"))
-    least = limits(counts).agg(F.map_from_entries(F.collect_list(F.struct("band", "least"))).alias("_least"))
+    # at most BANDS rows
+    least = F.create_map(*(F.lit(int(x)) for r in limits(counts).orderBy("band").collect() for x in r), F.lit(-1), F.lit(BINS))
     found = whole
     for name, pattern in (("_assign", ASSIGN), ("_access", ACCESS), ("_hex", HEX)):
         found = _found(found, "_text", name, pattern)
-    found = candidates(found, "_text").join(F.broadcast(least), how="cross")  # one row
+    found = candidates(found, "_text")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
 
     def kind(name: str, k: int, ok) -> Column:
@@ -155,7 +156,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
 
     base = F.array_sort(F.concat(kind("_assign", 0, lambda s: F.length(s["value"]) >= 6), kind("_access", 1, lambda s: F.lit(True)), kind("_hex", 2, lambda s: F.lit(True))))
     found = found.withColumn("_base", base)
-    extra = kind("_random", 3, lambda s: (s["bin"] >= F.coalesce(F.col("_least")[s["band"]], F.lit(BINS))) & ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    extra = kind("_random", 3, lambda s: (s["bin"] >= F.coalesce(least[s["band"]], F.lit(BINS))) & ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     found = found.withColumn("_spans", F.array_sort(F.concat(F.col("_base"), extra)))
     return found.select(*own, "_base", "_spans")
 
@@ -173,8 +174,11 @@ def digest(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     return found.select(key, count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(written("_base"), 256).alias("base_sha256"), written("_spans").alias("spans"))
 
 
-def redact(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with every span of ``text`` replaced by ``MASK``; overlapping spans by one."""
+def redact(df: DataFrame, text: str = "text", changed: str | None = None) -> DataFrame:
+    """``df`` with every span of ``text`` replaced by ``MASK``; overlapping spans by one.
+
+    ``changed``: adds a column of that name, whether the text has changed.
+    """
     own = df.columns
     found = scan(df, text)
     kind = "array<struct<a:int,b:int>>"
@@ -187,4 +191,4 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
     found = found.withColumn("_m", F.when(F.size("_spans") > 0, merged))
     before = F.transform("_m", lambda s, i: F.concat(F.substring(text, F.when(i == 0, 1).otherwise(F.try_element_at("_m", i)["b"] + 1), s["a"] - F.when(i == 0, 0).otherwise(F.try_element_at("_m", i)["b"])), F.lit(MASK)))
     masked = F.concat(F.array_join(before, ""), F.expr(f"substring(`{text}`, element_at(_m, -1).b + 1)"))
-    return found.withColumn(text, F.when(F.size("_spans") > 0, masked).otherwise(F.col(text))).select(*own)
+    return found.withColumn(text, F.when(F.size("_spans") > 0, masked).otherwise(F.col(text))).select(*own, *([(F.size("_spans") > 0).alias(changed)] if changed else []))

@@ -200,3 +200,32 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", radi
     found = components(links(nodes.where("node is not null"), radius=radius))
     classes = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return prints.join(classes, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
+    """The rows of ``df``, all columns, of which one of each component stays: the least id, then the least hash of the text.
+
+    Rows without an id that link with no row that has one are a component by fingerprint.
+    """
+    own = df.columns
+    keyed = df.withColumns({"_id": F.col(key).cast("long"), "_h": F.xxhash64(text)})
+    small_batches(df.sparkSession)
+
+    def run(batches):
+        for keys, hashes, texts in batches:
+            yield keys, hashes, np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64).tolist()
+
+    prints, _ = materialise(map_columns(keyed.select("_id", "_h", F.col(text).alias("_t")), "id long, h long, fp long", run))
+    nodes = prints.groupBy("fp").agg(F.min("id").alias("node"))
+    found = components(links(nodes.where("node is not null"), radius=radius))
+    classes = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
+    first = prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("f"))
+    # by component, or by fingerprint where no row has an id
+    group = F.struct(F.coalesce("component", "fp").alias("g"), F.col("component").isNull().alias("none"))
+    best = first.join(classes, "fp").groupBy(group.alias("group")).agg(F.min("f").alias("f")).select(F.col("f.id").alias("_id"), F.col("f.h").alias("_h"))
+    same = (keyed["_id"].eqNullSafe(best["_id"])) & (keyed["_h"] == best["_h"])
+    chosen = keyed.join(best, same, "left_semi")
+    # rows that repeat an id and a text: one stays
+    again = prints.groupBy("id", "h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("_id2"), F.col("h").alias("_h2"), F.lit(True).alias("_again"))
+    chosen = chosen.join(again, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2")), "left")
+    return chosen.where("_again is null").select(*own).unionByName(chosen.where("_again").dropDuplicates(["_id", "_h"]).select(*own))
