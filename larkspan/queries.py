@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from larkspan import catalogue
+from larkspan.catalogue import retrieval, strings
 
-from pyspark.sql import DataFrame, SparkSession
-
-Builder = Callable[[SparkSession, str], DataFrame]
+MODULES = (strings, retrieval)
+Builder = catalogue.Builder
 
 
 def queries() -> dict[str, Builder]:
-    return {}
+    return dict(catalogue.BUILDERS)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(catalogue.SQL)
