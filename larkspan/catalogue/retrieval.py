@@ -140,7 +140,7 @@ def seqdep_topk(spark, d):
 
 
 _PARTS = f"""vq AS (SELECT mention_id, terms[1] AS term, 1.0 AS weight FROM ment WHERE len(terms)>0 AND length(terms[1])>3),
-sq AS (SELECT mention_id, term, count(*)/any_value(n) AS weight FROM (SELECT mention_id, unnest(t) AS term, len(t) AS n FROM (SELECT mention_id, list_filter(terms[4:12], lambda w: w NOT IN {stops()}) AS t FROM ment)) GROUP BY ALL),
+sq AS (SELECT mention_id, term, count(*)/any_value(n) AS weight FROM (SELECT mention_id, unnest(t) AS term, len(t) AS n FROM (SELECT mention_id, list_filter(terms[4:], lambda w: w NOT IN {stops()}) AS t FROM ment)) GROUP BY ALL),
 parts AS (SELECT 0 AS part, 0.5 AS w, * FROM nq UNION ALL SELECT 1, 0.25, * FROM vq UNION ALL SELECT 2, 0.25, * FROM sq), tot AS (SELECT mention_id, sum(w) AS total FROM (SELECT DISTINCT mention_id, part, w FROM parts) GROUP BY 1),
 eq AS (SELECT mention_id, term, sum(weight*w/total) AS weight FROM parts JOIN tot USING (mention_id) GROUP BY ALL)"""
 
@@ -150,7 +150,7 @@ def entity_query(spark: SparkSession, d: str, weights: tuple[float, float, float
     m = views.mentions(spark, d)
     first = F.slice("terms", 1, 1)
     variants = retrieve.query(m.where(F.length(F.try_element_at("terms", F.lit(1))) > 3), first)
-    around = retrieve.query(m, F.filter(F.slice("terms", 4, 9), lambda w: ~text.is_stop(w)))
+    around = retrieve.query(m, F.filter(F.slice("terms", F.lit(4), F.size("terms")), lambda w: ~text.is_stop(w)))
     return retrieve.combine([(weights[0], retrieve.query(m, F.slice("terms", 1, 3))), (weights[1], variants), (weights[2], around)])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from larkspan.catalogue import LINKS, PAIRS, norm, query, r6, stops, toks
 from larkspan.functions import edits, sets, text
+from larkspan.operators import context
 from larkspan.plans import views
 
 A, B = F.col("a"), F.col("b")
@@ -110,9 +111,8 @@ def sentence_split(spark, d):
 @query("""WITH s AS (SELECT doc_id, string_split(text,'the') AS p FROM documents), l AS (SELECT doc_id, list_transform(p, lambda x: length(x)) AS l FROM s WHERE len(p)>1)
 SELECT doc_id, (len(l)-1)::BIGINT AS n, l[1]::BIGINT AS first_at, (list_sum(l[1:len(l)-1])+3*(len(l)-2))::BIGINT AS last_at FROM l""")
 def string_occurrences(spark, d):
-    at = text.occurrences(F.col("text"), "the")
-    o = views.table(spark, d, "documents").select("doc_id", at.alias("at")).where(F.size("at") > 0)
-    return o.select("doc_id", F.size("at").cast("long").alias("n"), F.element_at("at", 1).cast("long").alias("first_at"), F.element_at("at", -1).cast("long").alias("last_at"))
+    o = context.occurrences(views.table(spark, d, "documents"), "doc_id", "text", "the")
+    return o.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("begin").alias("first_at"), F.max("begin").alias("last_at"))
 
 
 @query(r"SELECT page_id, left(regexp_replace(regexp_replace(url,'[^A-Za-z0-9._-]','_','g'),'^[.-]','_'),255) AS name FROM pages")

@@ -149,15 +149,6 @@ def sentences(x: Column) -> Column:
     return F.transform(F.filter(F.transform(F.split(x, r"\."), lambda s: F.trim(s)), lambda s: s != ""), lambda s: F.concat(s, F.lit(".")))
 
 
-def occurrences(x: Column, phrase: str) -> Column:
-    """0-based starts of all non-overlapping occurrences of a phrase, by summed lengths of what stands between them."""
-    parts = F.split(x, "\\Q" + phrase + "\\E", -1)
-    before = F.slice(parts, F.lit(1), F.size(parts) - 1)
-    zero = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("sum"))
-    step = lambda a, p: F.struct(F.array_append(a["at"], a["sum"] + F.length(p)).alias("at"), (a["sum"] + F.length(p) + len(phrase)).alias("sum"))
-    return F.aggregate(before, zero, step, lambda a: a["at"])
-
-
 def safe_file_name(x: Column) -> Column:
     """A name that any file system takes: other characters to '_', no leading dot or dash, at most 255 characters."""
     return F.left(F.regexp_replace(F.regexp_replace(x, "[^A-Za-z0-9._-]", "_"), "^[.-]", "_"), F.lit(255))

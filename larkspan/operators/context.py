@@ -92,6 +92,20 @@ def label_runs(tokens: DataFrame, group: list[str], order: str = "pos", label: s
     return i.groupBy(*group, "island", label).agg(F.min(order).alias("first"), F.max(order).alias("last"), ordered.alias("words")).drop("island")
 
 
+def word_offsets(df: DataFrame, key: str, body: str, separator: str = " ") -> DataFrame:
+    """(key, word, begin): words between single separators with their character offsets, from summed lengths."""
+    w = df.select(key, F.posexplode(F.split(body, re.escape(separator), -1)).alias("pos", "word"))
+    size = F.length("word") + len(separator)
+    before = F.sum(size).over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - size
+    return w.select(key, "word", before.alias("begin"))
+
+
+def occurrences(df: DataFrame, key: str, body: str, phrase: str) -> DataFrame:
+    """(key, begin): starts of all non-overlapping occurrences of a phrase."""
+    pieces = word_offsets(df, key, body, phrase)
+    return pieces.select(key, (F.col("begin") - len(phrase)).alias("begin")).where("begin >= 0")
+
+
 def nearest_neighbors(hits: DataFrame, targets: DataFrame, key: str, k: int) -> DataFrame:
     """(key, name, distance, rank): names of a document by distance in characters to its nearest target.
 

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from larkspan import catalogue
-from larkspan.catalogue import retrieval, strings
+from larkspan.catalogue import collections, graph, judging, learning, retrieval, strings
 
-MODULES = (strings, retrieval)
+MODULES = (strings, retrieval, graph, learning, judging, collections)
 Builder = catalogue.Builder
 
 

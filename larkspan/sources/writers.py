@@ -12,15 +12,15 @@ def run_lines(query: Column, doc: Column, rank: Column, score: Column, tag: str)
 
 
 def confidence(score: Column, top: Column, low: float = 5.0) -> Column:
-    """(score + 5) / (top + 5), at least 0.001."""
+    """(score + low) / (top + low), at least 0.001."""
     return F.greatest((score + low) / (top + low), F.lit(0.001))
 
 
-def prediction_lines(df: DataFrame) -> DataFrame:
+def prediction_lines(df: DataFrame, low: float = 5.0) -> DataFrame:
     """``mention <tab> id <tab> confidence`` of (mention_id, kb_id, score); the greatest score comes from one aggregate."""
     top = df.agg(F.max("score").alias("_top"))
     lined = df.join(top, F.lit(True), "left")  # one row
-    return lined.select(F.concat_ws("\t", F.col("mention_id").cast("string"), "kb_id", F.format_string("%.6f", confidence(F.col("score"), F.col("_top")))).alias("value"))
+    return lined.select(F.concat_ws("\t", F.col("mention_id").cast("string"), "kb_id", F.format_string("%.6f", confidence(F.col("score"), F.col("_top"), low))).alias("value"))
 
 
 def component_lines(df: DataFrame, sources: list[str]) -> DataFrame:
