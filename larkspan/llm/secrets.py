@@ -31,6 +31,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspan.llm.common import materialise
+
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
@@ -143,6 +145,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     own = df.columns
     whole = df.withColumn("_text", F.coalesce(F.col(text).cast("string"), F.lit("")))
     counts = candidates(whole.select("_text"), "_text").where("_random is not null").select(F.explode("_random").alias("c")).groupBy("c.band", "c.bin").agg(F.count("*").alias("n"))
+    counts, _ = materialise(counts)  # read three times
     # at most BANDS rows
     least = F.create_map(*(F.lit(int(x)) for r in limits(counts).orderBy("band").collect() for x in r), F.lit(-1), F.lit(BINS))
     found = whole
