@@ -130,7 +130,11 @@ def confirmed(docs: DataFrame) -> DataFrame:
     """
     sound = docs.where("_id is not null and _text is not null")
     found = map_columns(sound.select("_id", "_hash", "_text"), "_id long, _hash long, anchor long, content long, a int, b int", _anchors)
+    # written once, so texts aren't hashed twice
+    found, _ = materialise(found)
     again = found.groupBy("anchor").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo < hi").select("anchor")
+    # a table of its own: both sides of the join come straight from exchanges, so a hot anchor can be split
+    again, _ = materialise(again)
     rec, _ = materialise(found.join(again, "anchor"))
     classes, _ = materialise(rec.groupBy("anchor", "content").agg(F.min("_id").alias("first")))
     mixed = classes.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor", F.lit(True).alias("mixed"))
