@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.
 SQL can't express the stages (fitted model, Aho-Corasick, byte-level BPE), so
-ORACLE_SQL is None; tests/llm/test_pipeline.py holds run() against a plain version.
+ORACLE_SQL is None; tests/llm/test_texts.py holds run() against a plain version.
 """
 
 from __future__ import annotations
