@@ -9,7 +9,10 @@ from larkspan.functions import edits, sets, text
 from larkspan.operators import context
 from larkspan.plans import views
 
-A, B = F.col("a"), F.col("b")
+
+def _sides():
+    """The two columns of a pair; made in a query, as a column needs a session."""
+    return F.col("a"), F.col("b")
 
 
 def _chars(x: str) -> str:
@@ -33,6 +36,7 @@ def normalize_text(spark, d):
 (a<>'' AND b<>'' AND left(a,1)=left(b,1))::INT::DOUBLE AS first_letter, regexp_full_match(upper(replace(a,' ','')),'[A-Z]*')::INT::DOUBLE AS acronym_like,
 round(CASE WHEN length(a)/10.0 < 0.01 THEN 0.0 ELSE 1+ln(length(a)/10.0) END,6) AS log_len FROM pairs""")
 def string_match_flags(spark, d):
+    A, B = _sides()
     p = views.name_pairs(spark, d)
     return p.select(
         "part_id", text.exact_match(A, B).alias("exact"), text.prefix_of(A, F.left(B, F.lit(2))).alias("prefix"), text.suffix_of(A, F.right(B, F.lit(3))).alias("suffix"),
@@ -47,6 +51,7 @@ round(CASE WHEN n1+n2=0 THEN 0 ELSE 2.0*i/(n1+n2) END,6) AS dice, round(CASE WHE
 round(ld,6) AS left_dice, round(rd,6) AS right_dice, round(greatest(ld,rd),6) AS max_dice FROM m""")
 def char_set_similarity(spark, d):
     p = views.name_pairs(spark, d)
+    A, B = _sides()
     left, right, most = text.aligned_dice_chars(A, B)
     m = sets.of_arrays(text.chars(A), text.chars(B))
     return p.select("part_id", *((c if k in ("intersect", "missing") else r6(c)).alias(k) for k, c in m.items()), r6(left).alias("left_dice"), r6(right).alias("right_dice"), r6(most).alias("max_dice"))
@@ -56,6 +61,7 @@ def char_set_similarity(spark, d):
 m AS (SELECT part_id, wa, wb, {_dice('list_distinct(x[1:n])','list_distinct(y[1:n])')} AS ld, {_dice('list_distinct(x[len(x)-n+1:len(x)])','list_distinct(y[len(y)-n+1:len(y)])')} AS rd FROM n)
 SELECT part_id, len(list_intersect(wa,wb))::BIGINT AS intersect, (len(wa)+len(wb)-2*len(list_intersect(wa,wb)))::BIGINT AS missing, round({_dice('wa','wb')},6) AS dice, round(ld,6) AS left_dice, round(rd,6) AS right_dice, round(greatest(ld,rd),6) AS max_dice FROM m""")
 def word_set_similarity(spark, d):
+    A, B = _sides()
     p = views.name_pairs(spark, d).select("part_id", F.concat_ws(" ", "a", "a").alias("a"), F.concat(B, F.lit(" steel")).alias("b"))
     left, right, most = text.aligned_dice_words(A, B)
     m = sets.of_arrays(text.words(A), text.words(B))

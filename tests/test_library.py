@@ -118,3 +118,14 @@ def test_flows(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, linked.collect()))
     names = spark.createDataFrame([(1, [("the of", 1.0)])], "mention_id long, names array<struct<name:string,weight:double>>")
     assert linking.reverse(names, kb, 3).count() == 3
+
+
+def test_entry_imports_without_a_session():
+    """The driver imports the entry file before it makes a session."""
+    import pathlib
+    import subprocess
+    import sys
+
+    root = pathlib.Path(__file__).parent.parent
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=60)
