@@ -1,7 +1,9 @@
 """Near-duplicate vectors by a pivot-permutation index (operator 4).
 
-Pivots are a bounded sample of the distinct vectors (``PIVOTS`` of them, those
-with the least hashes). Each vector is described by its ``PREFIX`` nearest
+Pivots are taken from a bounded sample of the distinct vectors (``POOL`` for each
+pivot, those with the least hashes): at most ``PIVOTS`` of them, none within twice
+the angle of the threshold of another, so a large group of near copies gives few
+pivots and its members are told apart by pivots outside it. Each vector is described by its ``PREFIX`` nearest
 pivots, nearest first, and indexed in the inverted list of each of them, kept
 apart by label. Two vectors of one list are candidates when they share at least
 ``SHARED`` pivots; a pair that meets in several lists is judged in the list of
@@ -31,19 +33,30 @@ from larkspan.llm.common import components, map_columns, materialise, small_batc
 from larkspan.llm.simhash import Forest, least_labels
 
 PIVOTS, PREFIX, SHARED, BLOCK = 256, 8, 2, 1024
+#: Sampled vectors for each pivot.
+POOL = 16
 
 
-def pivot_sample(vectors: DataFrame, most: int = PIVOTS) -> np.ndarray:
-    """At most ``most`` distinct vectors, those with the least hashes, scaled to length one.
+def pivot_sample(vectors: DataFrame, most: int = PIVOTS, threshold: float = 0.98) -> np.ndarray:
+    """At most ``most`` distinct vectors, least hashes first, scaled to length one, spread out.
 
-    The bound holds at every size: ``most`` rows reach the driver.
+    One that lies within twice the angle of ``threshold`` of a vector taken before is
+    left out: near copies as pivots would rank each other by noise alone. The bound
+    holds at every size: ``most`` x ``POOL`` rows reach the driver.
     """
-    rows = vectors.select("vector", F.xxhash64("vector").alias("h")).orderBy("h", "vector").limit(most).select("vector").collect()
+    rows = vectors.select("vector", F.xxhash64("vector").alias("h")).orderBy("h", "vector").limit(most * POOL).select("vector").collect()
     if not rows:
         return np.zeros((0, 0))
     size = max(len(r[0]) for r in rows)
     m = np.array([r[0] for r in rows if len(r[0]) == size], dtype=np.float64)
-    return m / np.linalg.norm(m, axis=1, keepdims=True)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    taken, nearest = [], np.full(len(m), -np.inf)
+    for i in range(len(m)):
+        if len(taken) < most and nearest[i] < 2 * threshold * threshold - 1:
+            taken.append(i)
+            nearest = np.maximum(nearest, m @ m[i])
+    # the first is taken whatever the threshold
+    return m[taken or [0]]
 
 
 def permutations(m: np.ndarray, pivots: np.ndarray, prefix: int = PREFIX) -> np.ndarray:
@@ -127,7 +140,7 @@ def near_vectors(df: DataFrame, vector: str = "embedding", key: str = "vec_id",
     # -0.0 and 0.0 are one value
     good = rows.where(sound).withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0)))
     classes, _ = materialise(good.groupBy("label", "vector").agg(F.min("id").alias("node"), F.countDistinct("id").alias("n")))
-    chosen = pivot_sample(classes, pivots)
+    chosen = pivot_sample(classes, pivots, threshold)
     if len(chosen):
         found = _links(classes, chosen, threshold, prefix, shared, block)
     else:

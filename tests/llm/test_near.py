@@ -85,6 +85,25 @@ def test_vectors(spark, block):
     assert pivots.near_vectors(df.limit(0)).count() == 0
 
 
+def crowded(n=900, share=3, size=64, seed=4):
+    """One row in ``share`` is a near copy of one vector (pairwise cosine about 0.985); of the others, some have a near copy."""
+    rng = np.random.default_rng(seed)
+    unit = lambda m: m / np.linalg.norm(m, axis=-1, keepdims=True)
+    group = unit(rng.normal(size=size)) + unit(rng.normal(size=(n // share, size))) * 0.123
+    rest = unit(rng.normal(size=(n - n // share, size)))
+    rest[:50] = rest[50:100] + unit(rng.normal(size=(50, size))) * 0.15
+    return [(i, v, 0) for i, v in enumerate(np.float32(np.vstack([group, rest])).tolist())]
+
+
+def test_vectors_crowd(spark):
+    rows = crowded()
+    got = sorted(map(tuple, pivots.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()))
+    want = brute.vector_components(rows)
+    assert all(g[1] <= w[1] for g, w in zip(got, want))
+    for part in (slice(0, 300), slice(300, None)):
+        assert sum(g[1] for g in got[part]) >= 0.9 * sum(w[1] for w in want[part]) > 0
+
+
 def test_vectors_driver_table(spark):
     d = spark.read.parquet(f"{SF}/embeddings.parquet")
     rows = [tuple(r) for r in d.select("vec_id", "embedding", "label").collect()]
