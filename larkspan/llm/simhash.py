@@ -20,6 +20,14 @@ Texts that are null count as empty; texts without words have fingerprint zero
 and link like any other; repeated rows share a fingerprint and a component. A
 row with a null id gets a fingerprint, but stands for no node: its component is
 that of its fingerprint, null if no row with an id has it.
+
+``keep_one`` also links texts whose sets of five-word shingles have a Jaccard
+coefficient of ``ALIKE`` or more, since three bits reach only the closest of those.
+Candidates share one of ``BANDS`` hashes of ``ROWS`` least shingle hashes each (at 0.8
+a pair shares none with a chance of 3 in 100,000) and are verified on the sets
+themselves. In each bucket the texts are held against the least one first; then
+those that are not yet of one component are held against each other, so a large
+group of near copies isn't compared pair by pair.
 """
 
 from __future__ import annotations
@@ -38,6 +46,9 @@ from larkspan.llm.common import components, map_columns, materialise, small_batc
 BLOCKS, RADIUS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12)), 3
 #: Distinct fingerprints of one key that are compared in one go.
 BLOCK = 2048
+#: Near copies in ``keep_one``: words of a shingle, least Jaccard coefficient, bands and least hashes in each.
+WIDE, ALIKE, BANDS, ROWS = 5, 0.8, 20, 4
+_FACTORS = np.random.default_rng(42).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
@@ -202,10 +213,73 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", radi
     return prints.join(classes, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
+def wide_shingles(text: str | None, size: int = WIDE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of ASCII-lower-cased words; a shorter text is one shingle."""
+    words = text.encode().lower().split() if text else []
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(words[i : i + size])) for i in range(max(1, len(words) - size + 1))], dtype=np.uint64))
+
+
+def bands(shingles: np.ndarray) -> list[int]:
+    """A hash for each band of least hashes; none for an empty set."""
+    if not len(shingles):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for i in range(0, len(shingles), 1 << 12):
+        h = shingles[i : i + (1 << 12), None] * _FACTORS
+        # the low bits of a product depend on the low bits alone
+        h ^= h >> np.uint64(32)
+        np.minimum(least, (h * np.uint64(0x9E3779B97F4A7C15)).min(axis=0), out=least)
+    least = least.reshape(BANDS, ROWS)
+    return [xxhash.xxh64_intdigest(r.tobytes(), k) - (1 << 63) for k, r in enumerate(least)]
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard coefficient of two sorted sets, 0 if both are empty."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, alike: float) -> DataFrame:
+    """Those of the pairs (a, b) of hashes whose texts (h, t) are alike."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    used, _ = materialise(texts.join(ends, "h", "left_semi").groupBy("h").agg(F.min("t").alias("t")))
+    both = pairs.join(used.select(F.col("h").alias("a"), F.col("t").alias("ta")), "a").join(used.select(F.col("h").alias("b"), F.col("t").alias("tb")), "b")
+
+    def run(batches):
+        for a, b, ta, tb in batches:
+            ok = [i for i in range(len(a)) if jaccard(wide_shingles(ta[i]), wide_shingles(tb[i])) >= alike]
+            yield [a[i] for i in ok], [b[i] for i in ok]
+
+    found, _ = materialise(map_columns(both.select("a", "b", "ta", "tb"), "a long, b long", run))
+    return found
+
+
+def alike_links(prints: DataFrame, texts: DataFrame, alike: float = ALIKE) -> DataFrame:
+    """Edges (a, b) over texts whose Jaccard coefficient is ``alike`` or more, from (h, bands) and (h, t)."""
+    rows = prints.groupBy("h").agg(F.min("bands").alias("bands")).select("h", F.explode("bands").alias("key"))
+    first = rows.groupBy("key").agg(F.min("h").alias("first"), F.max("h").alias("last")).where("first < last").select("key", "first")
+    met, _ = materialise(rows.join(first, "key"))
+    star, _ = materialise(met.where("h <> first").select(F.col("first").alias("a"), F.col("h").alias("b")).distinct())
+    found = _verify(star, texts, alike)
+    # pairs of one bucket that are not yet of one component
+    part = met.join(components(found), met["h"] == F.col("node"), "left").select("key", "h", F.coalesce("component", "h").alias("part"))
+    part, _ = materialise(part)
+    open_ = part.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
+    left, _ = materialise(part.join(open_, "key"))
+    other = left.select("key", F.col("h").alias("b"), F.col("part").alias("other"))
+    rest = left.withColumnRenamed("h", "a").join(other, "key").where("a < b and part <> other").select("a", "b").distinct()
+    rest, _ = materialise(rest.join(star, ["a", "b"], "left_anti"))
+    return found.union(_verify(rest, texts, alike))
+
+
+def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS, alike: float = ALIKE) -> DataFrame:
     """The rows of ``df``, all columns, of which one of each component stays: the least id, then the least hash of the text.
 
-    Rows without an id that link with no row that has one are a component by fingerprint.
+    Texts are linked within ``radius`` bits or at a likeness of ``alike``; rows without an
+    id link like any other, and stay only if no row of the component has one.
     """
     own = df.columns
     keyed = df.withColumns({"_id": F.col(key).cast("long"), "_h": F.xxhash64(text)})
@@ -213,16 +287,15 @@ def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", radius: int
 
     def run(batches):
         for keys, hashes, texts in batches:
-            yield keys, hashes, np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64).tolist()
-
-    prints, _ = materialise(map_columns(keyed.select("_id", "_h", F.col(text).alias("_t")), "id long, h long, fp long", run))
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("node"))
-    found = components(links(nodes.where("node is not null"), radius=radius))
-    classes = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    first = prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("f"))
-    # by component, or by fingerprint where no row has an id
-    group = F.struct(F.coalesce("component", "fp").alias("g"), F.col("component").isNull().alias("none"))
-    best = first.join(classes, "fp").groupBy(group.alias("group")).agg(F.min("f").alias("f")).select(F.col("f.id").alias("_id"), F.col("f.h").alias("_h"))
+            yield keys, hashes, np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64).tolist(), [bands(wide_shingles(t)) for t in texts]
+
+    prints, _ = materialise(map_columns(keyed.select("_id", "_h", F.col(text).alias("_t")), "id long, h long, fp long, bands array<long>", run))
+    nodes = prints.groupBy("fp").agg(F.min("h").alias("node"))
+    equal = prints.select("h", "fp").distinct().join(nodes, "fp").where("h <> node").select(F.col("h").alias("a"), F.col("node").alias("b"))
+    near = alike_links(prints.select("h", "bands"), keyed.select(F.col("_h").alias("h"), F.col(text).alias("t")), alike)
+    found = components(links(nodes, radius=radius).union(equal).union(near))
+    first = prints.groupBy("h").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("f"))
+    best = first.join(found, first["h"] == found["node"], "left").groupBy(F.coalesce("component", "h").alias("group")).agg(F.min("f").alias("f")).select(F.col("f.id").alias("_id"), F.col("f.h").alias("_h"))
     same = (keyed["_id"].eqNullSafe(best["_id"])) & (keyed["_h"] == best["_h"])
     chosen = keyed.join(best, same, "left_semi")
     # rows that repeat an id and a text: one stays

@@ -67,6 +67,31 @@ def test_simhash_hot_key(spark):
     assert {i: got.get(i, i) for i in range(len(a))} == want
 
 
+def test_keep_one_alike(spark):
+    rnd = random.Random(8)
+    rows = []
+    for g in range(40):
+        w = [f"g{g}x{rnd.randint(0, 10**6)}" for _ in range(200)]
+        rows.append((len(rows), " ".join(w)))
+        for edits in (3, 6, 20):  # Jaccard about 0.86 and 0.74, then 0.4
+            v = list(w)
+            for i in range(edits):
+                v[10 + i * (180 // edits)] = f"e{rnd.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(v)))
+    w = [f"h{i}" for i in range(200)]  # a chain: each is like the next only, and all are in few buckets
+    for _ in range(12):
+        rows.append((len(rows), " ".join(w)))
+        w[rnd.randrange(200)] = f"h{rnd.randint(1000, 10**6)}"
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(196)} for d, t in rows}
+    prints = {d: brute.simhash(t) for d, t in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and (len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) or (prints[a] ^ prints[b]).bit_count() <= 3)]
+    want = set(brute.roots(sets, pairs).values())
+    assert {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+    assert len(want) < len(rows) - 40
+    nameless = spark.createDataFrame([(None, t) for _, t in rows[:2]], "doc_id long, text string")
+    assert simhash.keep_one(nameless).count() == 1
+
+
 @pytest.mark.parametrize("block", [1024, 8])
 def test_vectors(spark, block):
     rng = np.random.default_rng(2)
