@@ -10,11 +10,12 @@ encoding's alphabet, runs above and below its middle, and lag-one serial
 correlation. The least of the three p-values, corrected for being the least of
 three, is about uniform for random strings and near zero for words and names.
 
-False discoveries are controlled by length: over all documents, strings are
+False discoveries are controlled by length: over all documents, distinct strings are
 counted by length band and p-value bin (at most ``BANDS`` x ``BINS`` rows). The
 upper half of the bins gives the level of random strings; what a bin has beyond
 that level are others. In each band the least p-value is found from which on at
-most ``FDR`` of the strings are others; strings below it are left alone. The
+most ``FDR`` of the strings are others, or their excess is within ``NOISE`` standard
+deviations of none; strings below it are left alone. The
 ``BANDS`` limits at most are gathered and stand in the plan as literals.
 
 Positions come from splitting at the matches and summing the lengths, in code
@@ -38,7 +39,7 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
-BANDS, BINS, FDR = 8, 20, 0.05
+BANDS, BINS, FDR, NOISE = 8, 20, 0.05, 2.0
 MASK = "[secret]"
 _BLOCK = 64
 
@@ -121,11 +122,11 @@ def _band(n: Column) -> Column:
 
 
 def candidates(df: DataFrame, text: str, name: str = "_random") -> DataFrame:
-    """Adds ``name``: array of (start, end, band, bin) of the strings that the battery tests."""
+    """Adds ``name``: array of (start, end, band, bin, hash) of the strings that the battery tests."""
     df = _found(df, text, "_c", CANDIDATE)
     df = df.withColumn("_c", F.when(F.size("_c") > 0, F.filter("_c", lambda c: c["value"].rlike("[0-9]") & c["value"].rlike("[A-Za-z]"))))
     df = df.withColumn("_p", F.when(F.size("_c") > 0, F.transform("_c", lambda c: _tests(c["value"]))))
-    made = F.zip_with("_c", "_p", lambda c, p: F.struct(c["start"].alias("start"), c["end"].alias("end"), _band(F.length(c["value"])).alias("band"), F.least(F.lit(BINS - 1), F.floor(p * BINS)).cast("int").alias("bin")))
+    made = F.zip_with("_c", "_p", lambda c, p: F.struct(c["start"].alias("start"), c["end"].alias("end"), _band(F.length(c["value"])).alias("band"), F.least(F.lit(BINS - 1), F.floor(p * BINS)).cast("int").alias("bin"), F.xxhash64(c["value"]).alias("hash")))
     return df.withColumn(name, F.when(F.size("_c") > 0, made)).drop("_c", "_p")
 
 
@@ -136,7 +137,10 @@ def limits(counts: DataFrame) -> DataFrame:
     level = full.where(F.col("bin") >= BINS // 2).groupBy("band").agg((F.sum("n") / (BINS // 2)).alias("level"))
     held = full.groupBy("band").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("all")).join(level, "band")
     above = lambda b: F.aggregate(F.filter("all", lambda x: x["bin"] >= b), F.lit(0).cast("double"), lambda s, x: s + x["n"])
-    good = F.filter(F.sequence(F.lit(1), F.lit(BINS - 1)), lambda b: (above(b) > 0) & ((above(b) - (BINS - b) * F.col("level")) <= FDR * above(b)))
+    # the excess if all are random: its variance is that of the bins below the upper half, and of the level times their number
+    half = BINS // 2
+    noise = lambda b: NOISE * F.sqrt((F.greatest(half - b, F.lit(0)) * (1 + F.greatest(half - b, F.lit(0)) / half) + F.when(b > half, (BINS - b) * (b - half) / half).otherwise(0)) * (F.col("level") + 1 / half))
+    good = F.filter(F.sequence(F.lit(1), F.lit(BINS - 1)), lambda b: (above(b) > 0) & ((above(b) - (BINS - b) * F.col("level")) <= FDR * above(b) + noise(b)))
     return held.select("band", F.coalesce(F.array_min(good), F.lit(BINS)).alias("least"))
 
 
@@ -144,7 +148,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     """All columns of ``df``, then _base and _spans: sorted arrays of (start, kind, end), kind a place in KINDS."""
     own = df.columns
     whole = df.withColumn("_text", F.coalesce(F.col(text).cast("string"), F.lit("")))
-    counts = candidates(whole.select("_text"), "_text").where("_random is not null").select(F.explode("_random").alias("c")).groupBy("c.band", "c.bin").agg(F.count("*").alias("n"))
+    counts = candidates(whole.select("_text"), "_text").where("_random is not null").select(F.explode("_random").alias("c")).select("c.band", "c.bin", "c.hash").distinct().groupBy("band", "bin").agg(F.count("*").alias("n"))
     counts, _ = materialise(counts)  # read three times
     # at most BANDS rows
     least = F.create_map(*(F.lit(int(x)) for r in limits(counts).orderBy("band").collect() for x in r), F.lit(-1), F.lit(BINS))

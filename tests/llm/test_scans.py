@@ -75,3 +75,14 @@ def test_random_strings(spark):
     got = {r.doc_id: r.spans for r in secrets.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum("random" in got[i] for i in range(300)) > 240
     assert sum("random" in got[1000 + i] for i in range(300)) < 15
+
+
+def test_limits_copies_and_thin_bands(spark):
+    assert {r.band: r.least for r in secrets.limits(spark.createDataFrame([(3, 6, 1), (5, 1, 1), (5, 0, 400), (5, 2, 60)], "band int, bin int, n long")).collect()} == {3: 1, 5: secrets.BINS}
+    rnd = random.Random(9)
+    al = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    df = spark.createDataFrame([(i, "".join(rnd.choices(al, k=32))) for i in range(200)], "doc_id long, text string")
+    hot = next(r for r in secrets.candidates(df, "text").where("_random is not null").orderBy("doc_id").collect() if r._random[0].bin == 6)
+    copies = spark.createDataFrame([(1000 + i, hot.text) for i in range(200)], df.schema)
+    flagged = lambda d: {r.doc_id for r in secrets.digest(d).where("doc_id < 1000 and spans like '%random%'").collect()}
+    assert flagged(df) == flagged(df.union(copies))
