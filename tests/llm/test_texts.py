@@ -53,19 +53,58 @@ def test_wrapper_alignment():
     for body in ("<div><p>a</div>", "<div><p>a<p>b</div>", "<div><ul><li>x</ul><p>a</div>"):
         x = wrappers.generalise(wrappers.parse(body))
         w = x if w is None else wrappers.merge(w, x, True)
-    ul, p = w.kids[0].kids
-    assert (ul.label, ul.optional, p.label, p.repeated, p.optional) == ("ul", True, "p", True, False)
+    assert w.notation() == "[div[ul[li[#]]? p[#]+]]"
+    x = wrappers.generalise(wrappers.parse("<p>a<h2>b</h2><p>c<h2>d</h2><p>e<ul></ul>"))
+    assert x.notation() == "[(h2[#]+? p[#]+?)+ ul]"
+
+
+LAYOUTS = (
+    # no article tags, and classes that say nothing: only the host's other pages tell what is text
+    ("http://one.example/{0}", '<body><div class="a1"><a href=/>Home</a> <a href=/x>All</a></div><div class="b2"><h1>Title {0}</h1><div class="k">{1}</div><div class="z9">Read more on one.example, the page of all pages, every day and every night of the week, at no cost</div></div><div class="c3">One Media since 1999, all rights reserved</div></body>'),
+    ("http://two.example/{0}", "<body><table><tr><td><ul><li><a href=1>x</a><li><a href=2>yy</a></ul></td><td><h1>Title {0}</h1>{1}</td></tr></table><p>Printed by two.example every day</p></body>"),
+    # the words of the class speak of the frame, but it holds the text
+    ("http://three.example/{0}", '<body><nav><p>menu</p></nav><div class="content widget"><h1>Title {0}</h1>{1}</div><div class="widget">win {0}</div></body>'),
+    # a teaser in an article tag, and the text in main
+    ("http://four.example/{0}", '<body><main><h1>Title {0}</h1>{1}<aside><article><h2>Teaser {0}</h2></article></aside></main><footer>f {0}</footer></body>'),
+    ("http://four.example/{0}", '<body><div id="x{0}"><h1>Title {0}</h1>{1}</div><footer>f {0}</footer></body>'),
+)
+
+
+def test_wrappers_layouts(spark):
+    rows, want = [], {}
+    for n, (url, page) in enumerate(LAYOUTS):
+        for i in range(12):
+            body = [f"Paragraph {j} of text {i} that goes on for some {i * j} words." for j in range(2 + i % 4)]
+            k = 100 * n + i
+            rows.append((k, url.format(i), page.format(k, "".join(f"<p>{x}</p>" for x in body))))
+            want[k] = "\n".join([f"Title {k}", *body])
+    schema = "page_id long, url string, html string"
+    results = []
+    for parts in (1, 4, 211):
+        df = spark.createDataFrame(rows if parts == 1 else rows[::-1], schema).repartition(parts)
+        results.append({r.page_id: r.text for r in wrappers.extract(df).collect()})
+    assert results[0] == want
+    assert results[0] == results[1] == results[2]
+    plain = {r[0]: wrappers.main_text(r[2]) for r in rows}
+    assert any(plain[k] != want[k] for k in want)  # a page of its own can't tell
+
+
+def test_wrappers_long_lists_and_quotes():
+    body = "".join(f"<p>text {i} is here</p>" + "<ul><li>a</ul>" * (i % 2) for i in range(300))
+    w = wrappers.generalise(wrappers.parse(f"<div>{body}</div>"))
+    assert w.notation() == "[div[(p[#]+? ul[li[#]]+?)+]]"
+    assert wrappers.main_text("""<div><p>three</p><a href="x>one</a> two<p title='a>b'>five</p></div>""") == "three\none two\nfive"
 
 
 def test_packing(spark, odd):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(bpe.public_path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    for df in (odd, spark.read.parquet(f"{SF}/documents.parquet")):
+    marks = [(40, "one <|endoftext|> two"), (41, "word " * 40 + "<|endoftext|>" + " word" * 40), (42, "a\u00a0b " * 30 + "x"), (43, "don't it's we're " * 9 + "end"), (44, "tab\tline\n " * 20)]
+    for df in (spark.createDataFrame(marks, "doc_id long, text string"), odd, spark.read.parquet(f"{SF}/documents.parquet")):
         texts = [(r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()]
         pieces, seqs = defaultdict(list), defaultdict(list)
-        for r in packing.pack_documents(df, bpe.public_path("byte_bpe_50k.tiktoken"), bpe.public_pattern()).collect():
+        for r in packing.pack_documents(df, bpe.public_path("byte_bpe_50k.json"), bpe.public_pattern()).collect():
             pieces[r.doc_id].append((r.start, r.length, r.ids_crc32, r.doc_tokens))
             seqs[r.sequence_id].append((r.offset, r.length))
         want = defaultdict(list)
@@ -85,7 +124,7 @@ def test_packing(spark, odd):
             if len(docs) == 1:
                 for start, n, crc, tokens in pieces[d]:
                     assert tokens == len(docs[0]) and zlib.crc32(docs[0][start : start + n].tobytes()) == crc
-    assert packing.pack_documents(odd.limit(0), bpe.public_path("byte_bpe_50k.tiktoken"), bpe.public_pattern()).count() == 0
+    assert packing.pack_documents(odd.limit(0), bpe.public_path("byte_bpe_50k.json"), bpe.public_pattern()).count() == 0
 
 
 def test_cut_is_cheapest():
@@ -194,8 +233,10 @@ def test_pipeline(spark):
     removed = {d: n for d, _, n, _ in brute.repeats(kept)}
     assert {r.doc_id: r._n_removed for r in text.collect()} == removed
     masked = {r.doc_id: r.text for r in secrets.redact(text.select("doc_id", "text")).collect()}
-    c = bpe.coder(bpe.public_path("byte_bpe_50k.tiktoken"), bpe.public_pattern())
-    want = {d: len(c.encoding.encode_ordinary(t)) + 1 for d, t in masked.items()}
+    from tokenizers import Tokenizer
+
+    c = Tokenizer.from_file(bpe.public_path("byte_bpe_50k.json"))
+    want = {d: len(c.encode(t, add_special_tokens=False).ids) + 1 for d, t in masked.items()}
     got, lengths = {}, defaultdict(int)
     for r in corpus_pipeline.run(spark, SF2).collect():
         got[r.doc_id] = r.doc_tokens
