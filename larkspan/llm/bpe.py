@@ -27,7 +27,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-from larkspan.llm.common import map_columns, small_batches
+from larkspan.llm.common import map_columns, quoted, small_batches
 
 #: Characters of a chunk and of what two chunks share.
 CHUNK, OVERLAP = 1 << 16, 1 << 10
@@ -49,11 +49,9 @@ def public_pattern() -> str:
 
 
 class Coder:
-    """Encodes and decodes by a file of ranks."""
+    """Encodes and decodes by ranks."""
 
-    def __init__(self, path: str, pattern: str) -> None:
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.raw = {b: a for a, b in ranks.items()}
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.length = np.zeros(max(self.raw) + 1, dtype=np.int64)
@@ -139,7 +137,9 @@ class Coder:
 
 @lru_cache(maxsize=4)
 def coder(path: str, pattern: str) -> Coder:
-    return Coder(path, pattern)
+    """The coder of a file of ranks."""
+    with open(path, "rb") as f:
+        return Coder({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
 
 
 def encode_decode(df: DataFrame, file: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -156,4 +156,4 @@ def encode_decode(df: DataFrame, file: str, pattern: str, text: str = "text", ke
             ids = [c.encode(t) for t in texts]
             yield keys, [len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(c.decode(x)).hexdigest() for x in ids]
 
-    return map_columns(df.select(key, text), f"{key} long, n_tokens long, ids_sha256 string, decoded_sha256 string", run)
+    return map_columns(df.select(quoted(key).cast("long"), quoted(text).cast("string")), f"`{key}` long, n_tokens long, ids_sha256 string, decoded_sha256 string", run)
