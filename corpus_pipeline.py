@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.llm import bpe, packing, passages, quality, secrets, simhash
-from larkspan.llm.common import materialise
+from larkspan.llm.common import fresh, materialise, quoted
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,19 +26,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that repeat from an earlier one; n_chars follows the text."""
-    kept = passages.remove_repeats(docs, layout=True)
-    return kept.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    counts = fresh(docs, "n_words", "n_removed")
+    kept = passages.remove_repeats(docs, layout=True, counts=counts)
+    return kept.withColumn("n_chars", F.when(F.col(counts[1]) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*map(quoted, docs.columns))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their secrets masked; n_chars follows the text."""
-    masked = secrets.redact(docs, changed="_changed")
-    return masked.withColumn("n_chars", F.when(F.col("_changed"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    (changed,) = fresh(docs, "changed")
+    masked = secrets.redact(docs, changed=changed)
+    return masked.withColumn("n_chars", F.when(F.col(changed), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*map(quoted, docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences."""
-    return packing.pack_documents(docs, bpe.public_path("byte_bpe_50k.tiktoken"), bpe.public_pattern())
+    return packing.pack_documents(docs, bpe.public_path("byte_bpe_50k.json"), bpe.public_pattern())
 
 
 STAGES = [

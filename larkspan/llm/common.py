@@ -1,23 +1,29 @@
 """Shared plumbing: scratch tables, Arrow mapping, connected components.
 
 Scratch tables live in the shared folder named by ``spark.checkpoint.dir``, so
-they outlive any executor. Only where that setting is absent (tests, a local
-session) is a folder of our own chosen.
+they outlive any executor. Only where that setting is absent and the session is a
+local one (tests) is a folder of our own chosen; on a cluster that is an error.
+Tables that no later step reads are deleted at once, the others when Python ends.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 _OWN: list[str] = []
+_WRITTEN: dict[str, SparkSession] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -25,11 +31,41 @@ def scratch_dir(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="larkspan-"))
+        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
     return _OWN[0]
 
 
+def quoted(name: str) -> Column:
+    """The column of this very name, dots and back quotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, with underscores before them until no column of ``df`` has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return tuple(out)
+
+
+def packed(df: DataFrame) -> Column:
+    """All columns as one struct, so that helper columns can't clash with them."""
+    return F.struct(*map(quoted, df.columns))
+
+
+def unpacked(df: DataFrame, like: DataFrame, row: str = "row") -> DataFrame:
+    """The columns of ``like`` from the struct that ``packed`` made of them."""
+    return df.select(*(F.col(row)[c].alias(c) for c in like.columns))
+
+
 def materialise(df: DataFrame) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet in the scratch folder; returns it reread, and its path.
 
@@ -37,6 +73,7 @@ def materialise(df: DataFrame) -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/larkspan-{uuid.uuid4().hex}"
+    _WRITTEN[path] = spark
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -47,12 +84,25 @@ def forget(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
+        _WRITTEN.pop(path, None)
+
+
+@atexit.register
+def _forget_all() -> None:
+    for path, spark in list(_WRITTEN.items()):
+        with contextlib.suppress(Exception):  # the session may have ended
+            forget(spark, path)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound an Arrow batch of texts by bytes as well as by rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Bound an Arrow batch of texts by rows and bytes, unless the session has lower bounds.
+
+    Results are lazy, so the bounds stay with the session.
+    """
+    for name, most in (("maxRecordsPerBatch", 500), ("maxBytesPerBatch", 8 << 20)):
+        now = re.fullmatch(r"(-?\d+)b?", spark.conf.get(f"spark.sql.execution.arrow.{name}"))
+        if not now or not 0 < int(now[1]) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def map_columns(df: DataFrame, schema: str | T.StructType, fn: Callable[[Iterator[tuple]], Iterator[tuple]]) -> DataFrame:

@@ -23,7 +23,7 @@ def op1_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), bpe.public_path("byte_bpe_50k.tiktoken"), bpe.public_pattern())
+    return packing.pack_documents(table(spark, sf_dir, "documents"), bpe.public_path("byte_bpe_50k.json"), bpe.public_pattern())
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +40,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = passages.remove_repeats(table(spark, sf_dir, "documents"))
-    return kept.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+    kept = passages.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=("n_words", "n_removed"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

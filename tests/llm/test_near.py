@@ -5,6 +5,7 @@ import sys
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,17 +137,37 @@ def test_vectors_driver_table(spark):
 
 
 def result9(df):
-    k = passages.remove_repeats(df)
-    return sorted(map(tuple, k.select("doc_id", "_n_words", "_n_removed", F.sha2("text", 256)).collect()), key=repr)
+    k = passages.remove_repeats(df, counts=("n_words", "n_removed"))
+    return sorted(map(tuple, k.select("doc_id", "n_words", "n_removed", F.sha2("text", 256)).collect()), key=repr)
 
 
 def test_passages(spark, odd):
     d, rows = documents(spark)
     assert result9(d) == brute.repeats(rows)
-    assert result9(odd.withColumns({"_spots": F.lit(1), "a": F.lit(2)}).drop("_spots")) == brute.repeats([(r[0], r[1]) for r in brute.ODD])
+    clashing = {c: F.col("doc_id") for c in ("_spots", "_id", "_hash", "_n_words", "shard", "first", "row", "id", "t", "a.b")}
+    more = odd.withColumns(clashing)
+    assert result9(more) == brute.repeats([(r[0], r[1]) for r in brute.ODD])
     assert passages.remove_repeats(odd.limit(0)).count() == 0
-    kept = passages.remove_repeats(odd)
-    assert kept.columns == [*odd.columns, "_n_words", "_n_removed"]
+    kept = passages.remove_repeats(more)
+    assert kept.columns == more.columns
+    assert all(r[c] == r["doc_id"] for r in kept.collect() for c in clashing)
+    with pytest.raises(ValueError):
+        passages.remove_repeats(more, counts=("_n_words", "n"))
+
+
+def test_passages_are_found_by_the_automaton():
+    """Only what the automaton finds is covered."""
+    p = passages.Phrases()
+    own = [b"w%d" % i for i in range(200)]
+    texts = passages.Words(pa.array([b"x " + b"\t".join(own) + b" ", b"", b" ".join(own[:90])]))
+    covered = lambda key: {i: np.flatnonzero(m).tolist() for i, m in p.covered(texts, texts.hashes(), [key] * 3).items()}
+    p.add(b" ".join(own[20:80]), 3, None)
+    p.add(b" ".join(own[100:160]), 5, [0, 10])
+    assert covered(6) == {0: [*range(21, 81), *range(101, 161)], 2: [*range(20, 80)]}
+    assert covered(5) == {0: [*range(21, 81)], 2: [*range(20, 80)]}
+    assert covered(3) == covered(None) == {}
+    p.first.clear()
+    assert covered(6) == {}
 
 
 def test_passages_random(spark):
