@@ -17,13 +17,36 @@ STOP_WORDS = tuple(
     they this to up was we were what when which who will with would you your""".split()
 )
 #: Words that mark an anchor text as useless for a name.
-SPAM_WORDS = ("click", "here", "link", "website", "homepage", "read", "more", "source", "external", "page", "http", "www")
+SPAM_WORDS = (
+    "http", "link", "here", "web", "site", "view", "click", "provided", "source", "original", "download", "website", "live", "article", "read", "wiki", "quelle", "background",
+    "artikel", "encyclopedia", "mehr", "german", "french", "english", "address",
+)
 #: Titles that name no entity.
 IGNORED_TITLE = "^(Category:|File:|List of )"
-#: Names of days and months.
+#: Names of days, months, times and news agencies.
 CALENDAR = tuple(
-    "monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december".split()
+    """weekend qmorning evening afternoon night weekend tomorrow tonight utc gmt jan feb mar apr jun jul aug sept sep oct nov dec january february march april may june
+    july august september october november december sunday monday tuesday wednesday thursday friday saturday sunday spring summer fall winter autumn sun mon tue tues wed
+    thu thur thurs fri sat xinhua afp""".split()
 )
+#: Abbreviations of places; a name stands for all abbreviations before it.
+PLACES = """al Alabama ak Alaska az ariz Arizona ar Arkansas ca calif cal California co colo Colorado ct conn Connecticut de del Deleware dc District_of_Columbia fl fla Florida
+ga Georgia hi Hawaii id Idaho il ill Illinois in ind Indiana ia Iowa ks kan kans Kansas ky Kentucky la Louisiana me Maine md Maryland ma mass Massachusetts mi mich Michigan
+mn minn Minnesota ms miss Mississippi mo Missouri mt mont Montana ne Nebraska nv Nevada nh New_Hampshire nj New_Jersey nm New_Mexico ny New_York nyc New_York_City
+nc North_Carolina nd North_Dakota oh Ohio ok okla Oklahoma or ore Oregon pa penn Pennsylvania ri Rhode_Island sc South_Carolina sd South_Dakota tn tenn Tennessee tx Texas
+ut Utah vt Vermont va Virginia wa Washington_(state) wv w_va West_Virginia wi wis wisc Wisconsin wy wyo Wyoming pr Puerto_Rico us United_States"""
+
+
+def places() -> dict[str, str]:
+    """Abbreviation to name."""
+    out, held = {}, []
+    for w in PLACES.split():
+        if w[0].isupper():
+            out |= {x.replace("_", " "): w for x in held}
+            held = []
+        else:
+            held.append(w)
+    return out
 
 
 def normalize(x: Column | str) -> Column:
@@ -116,12 +139,22 @@ def aligned_dice_words(a: Column, b: Column) -> tuple[Column, Column, Column]:
     return lefts, rights, F.greatest(lefts, rights)
 
 
-def strip_parentheses(x: Column, opening: str = r"\(", closing: str = r"\)", depth: int = 4) -> Column:
-    """Without parenthesised spans, nested up to ``depth``; the innermost go first."""
-    inner = f"{opening}[^{opening}{closing}]*{closing}"
-    for _ in range(depth):
-        x = F.regexp_replace(x, inner, "")
-    return x
+def strip_parentheses(x: Column, opening: str = "(", closing: str = ")") -> Column:
+    """Without parenthesised spans, nested to any depth.
+
+    A sign stays while the openings up to it and the closings before it are equally
+    many: what an open parenthesis begins goes up to the end, and so does what follows a
+    closing one too many. Only pieces between parentheses are walked, not signs.
+    """
+    both = f"\\{opening}\\{closing}"
+    zero = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        depth = acc["depth"] + F.when(piece == opening, 1).otherwise(0)
+        return F.struct((depth - F.when(piece == closing, 1).otherwise(0)).alias("depth"), F.when(depth == 0, F.array_append(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+
+    walked = F.aggregate(F.regexp_extract_all(x, F.lit(f"[^{both}]+|[{both}]"), F.lit(0)), zero, step)
+    return F.when(F.contains(x, F.lit(opening)) | F.contains(x, F.lit(closing)), F.array_join(walked["out"], "")).otherwise(x)
 
 
 def title_to_name(x: Column) -> Column:
@@ -136,10 +169,25 @@ def spam_anchor(x: Column) -> Column:
     return F.lower(x).rlike("|".join(SPAM_WORDS))
 
 
+def stem(w: Column) -> Column:
+    """A light stem: common English endings go, if three letters stay."""
+    return F.regexp_replace(w, "^(.{3,}?)(?:ings?|ed|es|s)$", "$1")
+
+
+def place_name(x: Column) -> Column:
+    """The place that an abbreviation stands for, null for none."""
+    return F.create_map(*(F.lit(v) for pair in places().items() for v in pair))[F.regexp_replace(F.lower(x), r"\.", "")]
+
+
 def calendar_word(x: Column) -> Column:
     return F.lower(x).isin(*CALENDAR)
 
 
+def neighbor_name(x: Column) -> Column:
+    """Whether a name may stand for a neighbour: no day, month or address, two signs at least."""
+    return ~calendar_word(x) & ~F.startswith(F.lower(x), F.lit("http")) & (F.length(x) >= 2)
+
+
 def clean_text(x: Column) -> Column:
     return F.regexp_replace(x, "[^A-Za-z0-9]", " ")
 

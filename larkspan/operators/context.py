@@ -100,6 +100,77 @@ def word_offsets(df: DataFrame, key: str, body: str, separator: str = " ") -> Da
     return w.select(key, "word", before.alias("begin"))
 
 
+def token_offsets(df: DataFrame, key: list[str], body: str, least: int = 2) -> DataFrame:
+    """(key, token, begin): runs of letters and digits, ``least`` signs and longer, with their offsets."""
+    w = df.select(*key, F.posexplode(F.split(body, r"[^\p{L}\p{Nd}]", -1)).alias("pos", "token"))
+    size = F.length("token") + 1
+    before = F.sum(size).over(Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - size
+    return w.select(*key, "token", before.alias("begin")).where(F.length("token") >= least)
+
+
+def local_weights(names: DataFrame, key: str) -> DataFrame:
+    """(key, name, n, weight, one): relative frequency of each normalised name among a document's, and the trivial weight."""
+    counts = names.select(key, text.normalize("name").alias("name")).where("name <> ''").groupBy(key, "name").agg(F.count("*").alias("n"))
+    return counts.select(key, "name", "n", (F.col("n") / F.sum("n").over(Window.partitionBy(key))).alias("weight"), F.lit(1.0).alias("one"))
+
+
+def alternative_names(names: DataFrame, targets: DataFrame, key: str) -> DataFrame:
+    """(key, name), distinct: a document's other names that hold the target's, or whose initials are the target's.
+
+    ``names``: (key, name); ``targets``: (key, target), one a document.
+    """
+    n, t = text.normalize("name"), text.normalize("target")
+    holds = F.contains(F.concat(F.lit(" "), n, F.lit(" ")), F.concat(F.lit(" "), t, F.lit(" "))) & (n != t)
+    return names.join(targets, key).where((t != "") & (holds | (text.acronym_match(F.col("target"), F.col("name")) > 0) & (n != t))).select(key, n.alias("name")).distinct()
+
+
+def find_types(names: DataFrame, types: DataFrame) -> DataFrame:
+    """(name, type, level) of distinct names: from (known, type) by the name as it is (1), without regard to case (2), with '_' for blanks (3), normalised (4), or else UNK (0)."""
+    listed = lambda forms: F.array(*(F.struct(F.lit(i).alias("level"), f.alias("form")) for i, f in enumerate(forms, 1)))
+    n, low = F.col("name"), F.lower("known")
+    forms = listed((n, F.lower(n), F.replace(F.lower(n), F.lit("_"), F.lit(" ")), text.normalize(n)))
+    known = listed((F.col("known"), low, low, text.normalize("known")))
+    left = names.select("name").distinct().select("name", F.explode(forms).alias("f")).select("name", "f.*")
+    right = types.select("type", F.explode(known).alias("f")).select("type", "f.*").groupBy("level", "form").agg(F.min("type").alias("type"))
+    best = left.join(right, ["level", "form"]).groupBy("name").agg(F.min(F.struct("level", "type")).alias("b"))
+    return names.select("name").distinct().join(best, "name", "left").select("name", F.coalesce("b.type", F.lit("UNK")).alias("type"), F.coalesce("b.level", F.lit(0)).alias("level"))
+
+
+def chains(names: DataFrame, key: str) -> DataFrame:
+    """(key, name, n, type, singleton): names that a document repeats, with their most frequent type, and all others as chains of one."""
+    n = names.select(key, text.normalize("name").alias("name"), "type").where("name <> ''")
+    counts = n.groupBy(key, "name", "type").agg(F.count("*").alias("n"))
+    return counts.groupBy(key, "name").agg(F.sum("n").alias("n"), F.max(F.struct("n", "type")).alias("t")).select(key, "name", "n", F.col("t.type").alias("type"), (F.col("n") == 1).alias("singleton"))
+
+
+def reverse_matches(names: DataFrame, targets: DataFrame, key: str) -> DataFrame:
+    """(key, level, name): how a document speaks of its target: by a name that equals it when normalised (1), that holds or is held by it (2), or that shares a word (3).
+
+    Of the names at the best level, the one that shares most words, then the longest,
+    then the first in order stands for them. ``targets``: (key, target).
+    """
+    j = names.select(key, "name").distinct().join(targets, key).withColumns({"n": text.normalize("name"), "t": text.normalize("target")}).where("n <> '' and t <> ''")
+    shared = F.size(F.array_intersect(text.words(F.col("n")), text.words(F.col("t"))))
+    inside = F.contains(F.col("n"), F.col("t")) | F.contains(F.col("t"), F.col("n"))
+    level = F.when(F.col("n") == F.col("t"), 1).when(inside, 2).when(shared > 0, 3)
+    found = j.withColumns({"level": level, "shared": shared}).where("level is not null")
+    return top_k(found, key, [F.asc("level"), F.desc("shared"), F.desc(F.length("name")), F.asc("name")], 1).select(key, "level", "name")
+
+
+def feedback_names(run: DataFrame, grams: DataFrame, names: DataFrame, k: int = 10) -> DataFrame:
+    """(mention_id, name, weight, rank): names weighted by the feedback documents.
+
+    Sum over the documents of a run of the posterior (softmax of the score) times the
+    name's share of the document's n-grams; the k best above 0. ``grams``: (entity_id,
+    gram, p); ``names``: (mention_id, name).
+    """
+    w = Window.partitionBy("mention_id")
+    posterior = run.select("mention_id", "entity_id", (F.exp(F.col("score") - F.max("score").over(w))).alias("x")).select("mention_id", "entity_id", (F.col("x") / F.sum("x").over(w)).alias("posterior"))
+    met = posterior.join(names.distinct(), "mention_id").join(grams.withColumnRenamed("gram", "name"), ["entity_id", "name"])
+    summed = met.groupBy("mention_id", "name").agg(F.round(F.sum(F.col("posterior") * F.col("p")), 6).alias("weight")).where("weight > 0")
+    return top_k(summed, "mention_id", [F.desc("weight"), F.asc("name")], k)
+
+
 def occurrences(df: DataFrame, key: str, body: str, phrase: str) -> DataFrame:
     """(key, begin): starts of all non-overlapping occurrences of a phrase."""
     pieces = word_offsets(df, key, body, phrase)

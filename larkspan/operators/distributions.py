@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspan.operators.ranking import top_k
+
 
 def normalise(df: DataFrame, group: str, p: str = "p") -> DataFrame:
     """p divided by the group's sum; 0 where that is 0."""
@@ -41,3 +43,24 @@ def check(df: DataFrame, group: str, elem: str) -> DataFrame:
     """``df``, or an error if a group lists an element twice."""
     n = F.count("*").over(Window.partitionBy(group, elem))
     return df.withColumn("_n", n).where(F.when(F.col("_n") > 1, F.raise_error(F.lit("an element is listed twice")).cast("boolean")).otherwise(True)).drop("_n")
+
+
+def with_universe(df: DataFrame, universe: DataFrame, groups: DataFrame, group: str, elem: str, unseen: float = 0.0, p: str = "p") -> DataFrame:
+    """(group, elem, p) over every element of ``universe`` (elem) for each of ``groups`` (group); duplicate keys are summed, unseen ones get ``unseen``.
+
+    The universe is a bounded list of elements; it goes with each group as one array.
+    """
+    known = df.groupBy(group, elem).agg(F.sum(p).alias(p))
+    elems = universe.select(elem).distinct().agg(F.collect_list(elem).alias("_all"))
+    every = groups.select(group).distinct().join(elems, F.lit(True), "left").select(group, F.explode("_all").alias(elem))
+    return every.join(known, [group, elem], "left").fillna(unseen, [p])
+
+
+def top_k_filled(df: DataFrame, universe: DataFrame, groups: DataFrame, group: str, elem: str, k: int, p: str = "p") -> DataFrame:
+    """(group, elem, p, rank): the k greatest of each group; elements without weight fill up what is left."""
+    return top_k(with_universe(df, universe, groups, group, elem, 0.0, p), group, [F.desc(F.round(p, 9)), F.asc(elem)], k)
+
+
+def logarithm(p: Column) -> Column:
+    """ln p; null for 0."""
+    return F.when(p > 0, F.log(p))

@@ -35,18 +35,53 @@ def alternative_names(fields: DataFrame, titles: DataFrame) -> DataFrame:
     return v.join(titles, "entity").where((F.col("value") != "") & ~F.contains(F.col("title"), F.col("value"))).select("entity", "value")
 
 
+def shared_sources(links: DataFrame) -> DataFrame:
+    """(entity, dest, shared) of the pairs of distinct links (entity, dest): how many others link to both; pairs without any aren't listed.
+
+    Each pair meets the sources of its entity; a source that links to the pair's other end
+    too is one more.
+    """
+    pairs = links.select("entity", "dest")
+    of_entity = pairs.join(pairs.select(F.col("dest").alias("entity"), F.col("entity").alias("source")), "entity")
+    both = of_entity.join(pairs.select(F.col("entity").alias("source"), "dest"), ["source", "dest"])
+    return both.groupBy("entity", "dest").agg(F.count("*").cast("double").alias("shared"))
+
+
+def passage_counts(links: DataFrame, paragraphs: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, dest, links, passages): links to each destination, and paragraphs that hold an anchor of one.
+
+    ``links``: (key, dest, anchor); ``paragraphs``: (key, par, text). Both meet by page.
+    """
+    counts = links.groupBy(key, "dest").agg(F.count("*").alias("links"))
+    held = paragraphs.join(links.select(key, "dest", "anchor").distinct(), key).where(F.contains("text", F.col("anchor"))).groupBy(key, "dest").agg(F.count_distinct("par").alias("passages"))
+    return counts.join(held, [key, "dest"], "left").fillna(0, ["passages"])
+
+
+def external_names(counts: DataFrame, k: int = 100, least: int = 3) -> DataFrame:
+    """(entity, value, weight) of (entity, value, p): no spam, the k best, normalised, longer than ``least``, duplicates summed."""
+    kept = top_k(counts.where(~text.spam_anchor(F.col("value"))), "entity", [F.desc("p"), F.asc("value")], k)
+    return kept.withColumn("value", text.normalize("value")).where(F.length("value") > least).groupBy("entity", "value").agg(F.sum("p").alias("weight"))
+
+
+def link_sets(links: DataFrame) -> DataFrame:
+    """(kind, k, e), distinct: the out-, in- and all link partners of each entity of (entity, dest)."""
+    out = links.select(F.lit("out").alias("kind"), F.col("entity").alias("k"), F.col("dest").alias("e"))
+    into = links.select(F.lit("in").alias("kind"), F.col("dest").alias("k"), F.col("entity").alias("e"))
+    both = out.unionByName(into)
+    return both.unionByName(both.withColumn("kind", F.lit("all"))).distinct()
+
+
 def neighbors(links: DataFrame, near: int = 10, k: int = 10, weights: tuple[float, float, float, float] = (0.25, 0.25, 0.25, 0.25)) -> DataFrame:
     """(entity, dest, score, rank): the k best neighbours of each entity.
 
     ``links``: (entity, dest, pos). Four features, each divided by its sum over the
     entity's neighbours (0 where that is 0): place (1 near the top, else 0.1), number
-    of links, whether the neighbour links back, and how many entities link to both.
-    The last is a count by neighbour of the entities that share it, not a self-join.
+    of links, whether the neighbour links back, and how many entities link to both. For
+    the last, links meet on their source, but only those whose ends are a listed pair.
     """
     own = links.where("dest <> entity").groupBy("entity", "dest").agg(F.max(F.when(F.col("pos") < near, 1.0).otherwise(0.1)).alias("place"), F.count("*").cast("double").alias("anchors"))
     back = own.select(F.col("dest").alias("entity"), F.col("entity").alias("dest"), F.lit(1.0).alias("back"))
-    indegree = own.groupBy("dest").agg(F.count("*").cast("double").alias("shared"))
-    f = own.join(back, ["entity", "dest"], "left").join(indegree, "dest").fillna(0.0, ["back"])
+    f = own.join(back, ["entity", "dest"], "left").join(shared_sources(own), ["entity", "dest"], "left").fillna(0.0, ["back", "shared"])
     w = Window.partitionBy("entity")
     score = F.lit(0.0)
     for name, weight in zip(("place", "anchors", "back", "shared"), weights, strict=True):

@@ -7,6 +7,8 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspan.operators.ranking import batch_ids
+
 #: Thresholds of the sweep, in natural order.
 SWEEP = (-14.0, -12.0, -11.5, -11.0, -10.5, -10.0)
 
@@ -26,13 +28,21 @@ def sweep(predictions: DataFrame, thresholds: tuple[float, ...] = SWEEP) -> Data
 def cluster_ids(df: DataFrame, key: str, order: str, group: str | None = None) -> DataFrame:
     """Adds nil_id: NIL0001 and on, by the first appearance of a key, anew in each group.
 
-    Only the distinct keys are numbered in one sequence, not the rows.
+    Keys are numbered within ranges of their first appearance and by the ranges' sizes,
+    so no task sorts them all; a group's own keys are numbered together.
     """
     on = [group, key] if group else [key]
     first = df.groupBy(*on).agg(F.min(order).alias("_first"))
-    w = (Window.partitionBy(group) if group else Window.partitionBy()).orderBy("_first", key)
-    named = first.withColumn("nil_id", F.format_string("NIL%04d", F.row_number().over(w))).drop("_first")
-    return df.join(named, on)
+    if group:
+        numbered = first.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy("_first", key)))
+    else:
+        numbered = batch_ids(first.withColumn("_at", F.struct("_first", key)), "_at", 1).select(key, "_first", (F.col("batch") + 1).alias("_n"))
+    return df.join(numbered.withColumn("nil_id", F.format_string("NIL%04d", "_n")).drop("_first", "_n"), on)
+
+
+def wiki_only(predictions: DataFrame, nil: str = "NIL") -> DataFrame:
+    """An id that begins with ``nil`` becomes null; the title stays, and no score is looked at."""
+    return predictions.withColumn("kb_id", F.when(~F.startswith("kb_id", F.lit(nil)), F.col("kb_id")))
 
 
 def classifier(train: DataFrame, features: list[str], label: str, variance: float = 1.0):

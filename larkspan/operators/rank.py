@@ -7,11 +7,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.functions.logs import sound
-from larkspan.operators.ranking import top_k
+from larkspan.operators.evaluate import average_precision
+from larkspan.operators.ranking import batch_ids, top_k
 
 
 def domain(features: DataFrame, name: str = "feature") -> dict[str, int]:
@@ -19,6 +22,29 @@ def domain(features: DataFrame, name: str = "feature") -> dict[str, int]:
     return {r[0]: i for i, r in enumerate(features.select(name).distinct().orderBy(name).collect())}
 
 
+def domain_rows(features: DataFrame, name: str = "feature") -> DataFrame:
+    """(name, id): the same as a table, numbered in two steps and never collected."""
+    return batch_ids(features.select(name).distinct(), name, 1).withColumnRenamed("batch", "id")
+
+
+def stored(features: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Stored features (mention_id, candidates: array of structs) of the asked mentions, a row each candidate; what was never stored is absent."""
+    return features.join(mentions.select("mention_id").distinct(), "mention_id", "left_semi").select("mention_id", F.explode("candidates").alias("c")).select("mention_id", "c.*")
+
+
+def train(rows: DataFrame, vector: str = "vector", label: str = "label", seed: int = 42, trees: int = 20):
+    """Pointwise gradient-boosted trees on four fifths of the mentions, chosen by their id; returns the model and its MAP on the others.
+
+    ``rows``: (mention_id, entity_id, vector, label); a mention's rows stay on one side.
+    """
+    ready = rows.withColumn("_v", array_to_vector(F.col(vector))).withColumn("_side", F.pmod(F.xxhash64(F.lit(seed), "mention_id"), F.lit(5)))
+    model = GBTRegressor(featuresCol="_v", labelCol=label, maxIter=trees, maxDepth=4, seed=seed, predictionCol="prediction").fit(ready.where("_side > 0"))
+    judged = model.transform(ready.where("_side = 0"))
+    run = top_k(judged, "mention_id", [F.desc("prediction"), F.asc("entity_id")], 2**31 - 1).select("mention_id", "entity_id", "rank")
+    true = judged.where(F.col(label) > 0).select("mention_id", "entity_id")
+    return model, average_precision(run, true).agg(F.avg("ap")).first()[0]
+
+
 def assemble(df: DataFrame, names: Sequence[str], rank: str = "rank", score: str = "score") -> DataFrame:
     """Adds vector: the named columns (null: 0), then 1 / (rank + 1) and the score. NaN or infinity is an error."""
     cells = [F.coalesce(sound(F.col(n).cast("double")), F.lit(0.0)) for n in names]

@@ -59,3 +59,18 @@ def islands(df: DataFrame, group: Sequence[str], order: str, label: str) -> Data
     w = Window.partitionBy(*group).orderBy(order)
     changed = F.when(F.col(label).eqNullSafe(F.lag(label).over(w)), 0).otherwise(1)
     return df.withColumn("_c", changed).withColumn("island", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_c")
+
+
+def merge_lists(df: DataFrame, key: str, lists: str) -> DataFrame:
+    """(key, lists): the arrays of a key in one, sorted."""
+    return df.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list(lists))).alias(lists))
+
+
+def last_or_max(x: Column, k: int) -> Column:
+    """Element k (from 0) of an array, or its last one; null for an empty array."""
+    return F.when(F.size(x) > 0, F.element_at(x, F.least(F.lit(k + 1), F.size(x))))
+
+
+def inner_product(x: DataFrame, weights: DataFrame, key: list[str], name: str = "feature", value: str = "value", weight: str = "weight") -> DataFrame:
+    """(key, product) of rows (key, name, value) and (name, weight); names on one side only add nothing."""
+    return x.join(weights.select(name, weight), name, "left").groupBy(*key).agg(F.sum(F.coalesce(F.col(value) * F.col(weight), F.lit(0))).alias("product"))

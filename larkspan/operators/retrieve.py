@@ -92,3 +92,41 @@ def feedback_terms(run: DataFrame, post: DataFrame, lens: DataFrame, key: str =
     z = e.groupBy("mention_id").agg(F.sum("x").alias("z"))
     post_of = e.join(z, "mention_id").select("mention_id", key, "n", (F.col("x") / F.col("z")).alias("posterior"))
     return post_of.join(post, key).join(lens, key).groupBy("mention_id", "term").agg(F.sum(F.col("posterior") * F.col("tf") / F.col("len") / F.col("n")).alias("weight"))
+
+
+def explain(queries: DataFrame, run: DataFrame, post: DataFrame, stats: DataFrame, lens: DataFrame, tokens: float, mu: float, key: str = "entity_id") -> DataFrame:
+    """(mention_id, key, rank, term, tf, part): what each query term adds to the score of each document of a run; the parts sum to it."""
+    known = queries.join(stats.select("term", (F.col("cf") / tokens).alias("p")), "term")
+    every = run.select("mention_id", key, "rank").join(known, "mention_id").join(post, [key, "term"], "left").join(lens, key)
+    part = F.col("weight") * F.log((F.coalesce("tf", F.lit(0)) + mu * F.col("p")) / (F.col("len") + mu))
+    return every.select("mention_id", key, "rank", "term", F.coalesce("tf", F.lit(0)).alias("tf"), part.alias("part"))
+
+
+def with_documents(run: DataFrame, docs: DataFrame, key: str = "entity_id") -> DataFrame:
+    """A run with the columns of its documents; a document that isn't there is an error. Ranks keep the order."""
+    j = run.join(docs.withColumn("_there", F.lit(True)), key, "left")
+    there = F.when(F.col("_there"), True).otherwise(F.raise_error(F.concat(F.lit("no such document: "), F.col(key).cast("string"))).cast("boolean"))
+    return j.where(there).drop("_there")
+
+
+def fetch(docs: DataFrame, ids: DataFrame, key: str = "doc_id", missing: str = "absent") -> DataFrame:
+    """The documents of some ids; one that isn't there is absent, or with ``missing="error"`` an error."""
+    wanted = ids.select(key).distinct()
+    return docs.join(wanted, key, "left_semi") if missing == "absent" else with_documents(wanted, docs, key)
+
+
+def without_payload(docs: DataFrame, *columns: str) -> DataFrame:
+    """Documents without their large columns; ``with_payload`` brings them back for those that are left."""
+    return docs.drop(*columns)
+
+
+def with_payload(kept: DataFrame, docs: DataFrame, key: str, *columns: str) -> DataFrame:
+    return kept.join(docs.select(key, *columns), key)
+
+
+def two_pass(first: DataFrame, query: DataFrame, expansion: DataFrame, share: float) -> DataFrame:
+    """The query of a second pass: (1 - share) of the first one's, share of the expansion terms scaled to sum to 1; terms are added up."""
+    total = expansion.groupBy("mention_id").agg(F.sum("weight").alias("_t"))
+    more = expansion.join(total, "mention_id").select("mention_id", "term", (F.col("weight") / F.col("_t") * share).alias("weight"))
+    kept = query.select("mention_id", "term", (F.col("weight") * (1 - share)).alias("weight"))
+    return kept.unionByName(more).join(first.select("mention_id").distinct(), "mention_id", "left_semi").groupBy("mention_id", "term").agg(F.sum("weight").alias("weight"))
