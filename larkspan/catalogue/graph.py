@@ -37,11 +37,21 @@ def weighted_names(spark, d):
     return links.weighted_names(links.name_counts(_fields(spark, d)), {"title": 1.0, "anchor": 0.5})
 
 
-@query(f"WITH {LINKS} SELECT DISTINCT dest AS entity, {norm('anchor')} AS value FROM lk WHERE {norm('anchor')}<>'' AND NOT contains(left({norm('dest')},3), {norm('anchor')})")
+_NAMED = f"""{LINKS}, src0 AS (SELECT page_id, min_by(dest, pos) AS entity FROM lk GROUP BY 1), nm AS (SELECT dest AS entity, anchor AS value FROM lk UNION ALL SELECT s.entity, regexp_extract(p.html,'<title>([^<]*)</title>',1) FROM src0 s JOIN pages p USING (page_id))"""
+
+
+def _names(spark, d):
+    """(entity, value): anchors of links to an entity, and titles of the pages that stand for it."""
+    anchors = views.links(spark, d).select(F.col("dest").alias("entity"), F.col("anchor").alias("value"))
+    first = views.links(spark, d).groupBy("page_id").agg(F.min_by("dest", "pos").alias("entity"))
+    titles = views.table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("value"))
+    return anchors.unionByName(first.join(titles, "page_id").select("entity", "value"))
+
+
+@query(f"WITH {_NAMED} SELECT DISTINCT entity, {norm('value')} AS value FROM nm WHERE {norm('value')}<>'' AND NOT contains({norm('entity')}, {norm('value')})")
 def alternative_names(spark, d):
-    fields = _fields(spark, d).where("field = 'anchor'")
-    titles = fields.select("entity").distinct().select("entity", F.left(text.normalize("entity"), F.lit(3)).alias("title"))
-    return links.alternative_names(fields, titles)
+    names = _names(spark, d)
+    return links.alternative_names(names, names.select("entity").distinct().select("entity", text.normalize("entity").alias("title")))
 
 
 _WORDLINKS = f"{LINKS}, src AS (SELECT page_id, min_by(dest, pos) AS entity FROM lk GROUP BY 1), wl AS (SELECT s.entity, l.dest, l.pos FROM lk l JOIN src s USING (page_id))"
@@ -54,8 +64,8 @@ def _word_links(spark, d):
     return every.join(first, "page_id").select("entity", "dest", "pos")
 
 
-@query(f"""WITH {_WORDLINKS}, o AS (SELECT entity, dest, max(CASE WHEN pos<3 THEN 1.0::DOUBLE ELSE 0.1::DOUBLE END) AS place, count(*)::DOUBLE AS anchors FROM wl WHERE dest<>entity GROUP BY ALL), deg AS (SELECT dest, count(*)::DOUBLE AS shared FROM o GROUP BY 1),
-f AS (SELECT o.*, CASE WHEN b.entity IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS back, shared FROM o LEFT JOIN o b ON b.entity=o.dest AND b.dest=o.entity JOIN deg ON deg.dest=o.dest),
+@query(f"""WITH {_WORDLINKS}, o AS (SELECT entity, dest, max(CASE WHEN pos<3 THEN 1.0::DOUBLE ELSE 0.1::DOUBLE END) AS place, count(*)::DOUBLE AS anchors FROM wl WHERE dest<>entity GROUP BY ALL), deg AS (SELECT p.entity, p.dest, count(*)::DOUBLE AS shared FROM o p JOIN o a ON a.dest=p.entity JOIN o b ON b.entity=a.entity AND b.dest=p.dest GROUP BY ALL),
+f AS (SELECT o.*, CASE WHEN b.entity IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS back, coalesce(shared,0.0::DOUBLE) AS shared FROM o LEFT JOIN o b ON b.entity=o.dest AND b.dest=o.entity LEFT JOIN deg ON deg.entity=o.entity AND deg.dest=o.dest),
 t AS (SELECT *, sum(place) OVER w AS tp, sum(anchors) OVER w AS ta, sum(back) OVER w AS tb, sum(shared) OVER w AS ts FROM f WINDOW w AS (PARTITION BY entity)),
 s AS (SELECT entity, dest, round(0.25*(CASE WHEN tp=0 THEN 0 ELSE place/tp END)+0.25*(CASE WHEN ta=0 THEN 0 ELSE anchors/ta END)+0.25*(CASE WHEN tb=0 THEN 0 ELSE back/tb END)+0.25*(CASE WHEN ts=0 THEN 0 ELSE shared/ts END),6) AS score FROM t)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY score DESC, dest) AS rank FROM s) WHERE rank<=10""")

@@ -10,7 +10,6 @@ from larkspan.catalogue.retrieval import run
 from larkspan.catalogue.strings import _chars, _dice
 from larkspan.functions import logs, sets, text
 from larkspan.operators import rank, ranking
-from larkspan.operators.index import postings
 from larkspan.plans import views
 from larkspan.sources import writers
 
@@ -59,7 +58,7 @@ def variant_minmaxavg(spark, d):
 def context_share(spark, d):
     """Share of a mention's context words that the entry's text holds."""
     c = views.mentions(spark, d).select("mention_id", F.explode(F.array_distinct(F.slice("terms", F.lit(4), F.size("terms")))).alias("term"))
-    post = postings(views.kb(spark, d), only=c).select("entity_id", "term", F.lit(1).alias("hit"))
+    post = views.kb_index(spark, d).of(c).select("entity_id", "term", F.lit(1).alias("hit"))
     j = run(spark, d).select("mention_id", "entity_id").join(c, "mention_id").join(post, ["entity_id", "term"], "left")
     return j.groupBy("mention_id", "entity_id").agg(r6(F.count("hit") / F.count("*")).alias("share"))
 
@@ -74,7 +73,8 @@ def e2e_features(spark, d):
     r = run(spark, d).select("mention_id", F.col("entity_id").alias("a"), "rank")
     top = r.where("rank = 1").select(F.explode(F.array(F.col("mention_id") - 1, F.col("mention_id") - 2)).alias("mention_id"), F.col("a").alias("b"))
     near = r.drop("rank").join(top, "mention_id")
-    own = postings(views.kb(spark, d)).select(F.col("entity_id").alias("k"), "term")
+    listed = near.select(F.explode(F.array("a", "b")).alias("entity_id")).distinct()
+    own = views.kb_index(spark, d).postings.join(listed, "entity_id", "left_semi").select(F.col("entity_id").alias("k"), "term")
     f = sets.of_rows(own, near.select("a", "b").distinct(), "k", "term", "a", "b")
     m = sets.measures(F.col("i"), F.col("n1"), F.col("n2"))
     g = near.join(f.select("a", "b", m["jaccard"].alias("jac"), m["dice"].alias("dice")), ["a", "b"])
@@ -102,11 +102,13 @@ def svm_lines(spark, d):
     return v.select("mention_id", "entity_id", rank.svm_line(F.coalesce("t", F.lit(0)), F.col("mention_id"), F.col("vector"), F.col("title")).alias("line"))
 
 
-@query("SELECT feature, (row_number() OVER (ORDER BY feature)-1)::BIGINT AS id FROM (SELECT unnest([" + ",".join(f"'name.{f}'" for f in FEATURES) + "]) AS feature)")
+@query(f"""WITH {_FEATURES}, n AS (SELECT DISTINCT feature FROM (UNPIVOT (SELECT mention_id, entity_id, {",".join(f"{f}::DOUBLE AS {f}" for f in FEATURES)} FROM ft) ON {",".join(FEATURES)} INTO NAME feature VALUE value) WHERE value<>0)
+SELECT 'name.'||feature AS feature, (row_number() OVER (ORDER BY feature)-1)::BIGINT AS id FROM n""")
 def domain_map(spark, d):
-    names = spark.range(1).select(F.explode(F.array(*(F.lit(f"name.{f}") for f in FEATURES))).alias("feature"))
-    ids = rank.domain(names)
-    return names.select("feature", F.create_map(*(F.lit(x) for kv in ids.items() for x in kv))[F.col("feature")].cast("long").alias("id"))
+    """Dense ids of the features that some row has, in order of their names."""
+    parts = F.array(*(F.struct(F.lit(f"name.{f}").alias("feature"), F.col(f).alias("value")) for f in FEATURES))
+    names = name_feature_rows(spark, d).select(F.explode(parts).alias("p")).select("p.*").where("value <> 0").select("feature")
+    return rank.domain_rows(names)
 
 
 _F = "::FLOAT"
@@ -124,9 +126,35 @@ def rerank(spark, d):
     return rank.rerank(v, TOY.expression()).select("mention_id", "entity_id", "old_rank", "model_score", "rank")
 
 
-@query(f"WITH {_FEATURES} SELECT mention_id, entity_id, round(0.6*score+0.3*char_dice+0.1*word_dice,6) AS combined FROM ft")
+#: Presets of weights of score components, by the queries that the components come from.
+PRESETS = {
+    "query_only": {"raw": 1.0},
+    "query_nv": {"raw": 0.42, "nv": 0.58},
+    "query_prf": {"raw": 0.489, "nv": 0.511},
+    "query_local": {"raw": 0.4, "all_local_ner": 0.6},
+    "query_nv_prf": {"raw": 0.370, "nv": 0.336, "all_prfweight_ner": 0.294},
+    "query_nv_local": {"raw": 0.308, "nv": 0.380, "all_local_ner": 0.3126},
+    "query_nv_sent": {"raw": 0.332, "nv": 0.396, "sent": 0.273},
+    "query_nv_uniform": {"raw": 0.310, "nv": 0.382, "all_uniform_ner": 0.308},
+    "query_nv_uniform_sent": {"raw": 0.3366, "nv": 0.405, "all_uniform_ner": 0.2260, "sent": -0.0325},
+    "query_nv_local_sent": {"raw": 0.30, "nv": 0.37, "all_local_ner": 0.264, "sent": -0.0655},
+    "query_nv_prf_sent": {"raw": 0.321, "nv": 0.293, "all_prfweight_ner": 0.230, "sent": 0.155},
+    "all": {"raw": 0.293, "nv": 0.22736, "all_prfweight_ner": 0.144, "sent": 0.0732, "all_prfentites_ner": 0.0733, "all_local_ner": 0.0981, "all_uniform_ner": 0.0914},
+}
+#: Which of the run's scores stand for the components.
+COMPONENTS = {"raw": "score", "nv": "char_dice", "all_local_ner": "word_dice", "all_uniform_ner": "exact", "sent": "first_letter", "all_prfweight_ner": "suffix", "all_prfentites_ner": "log_len"}
+_WEIGHTS = ",".join(f"('{p}','{c}',{w})" for p, own in PRESETS.items() for c, w in own.items())
+
+
+@query(f"""WITH {_FEATURES}, w(preset, source, weight) AS (VALUES {_WEIGHTS}), c AS (UNPIVOT (SELECT mention_id, entity_id, {",".join(f"{v}::DOUBLE AS {k}" for k, v in COMPONENTS.items())} FROM ft) ON {",".join(COMPONENTS)} INTO NAME source VALUE value)
+SELECT preset, mention_id, entity_id, sum(value::DECIMAL(18,6)*weight::DECIMAL(9,5))::DOUBLE AS combined FROM c JOIN w USING (source) GROUP BY ALL""")
 def linear_reweight(spark, d):
-    return name_feature_rows(spark, d).select("mention_id", "entity_id", r6(0.6 * F.col("score") + 0.3 * F.col("char_dice") + 0.1 * F.col("word_dice")).alias("combined"))
+    """Score components under each preset; sums are of decimals, so the order of additions doesn't show."""
+    weights = spark.createDataFrame([(p, c, w) for p, own in PRESETS.items() for c, w in own.items()], "preset string, feature string, weight double").withColumn("weight", F.col("weight").cast("decimal(9,5)"))
+    parts = F.array(*(F.struct(F.lit(k).alias("feature"), F.col(v).cast("decimal(18,6)").alias("value")) for k, v in COMPONENTS.items()))
+    rows = name_feature_rows(spark, d).select("mention_id", "entity_id", F.explode(parts).alias("p")).select("mention_id", "entity_id", "p.*")
+    every = rows.join(weights, "feature")
+    return every.groupBy("preset", "mention_id", "entity_id").agg(F.sum(F.col("value") * F.col("weight")).cast("double").alias("combined"))
 
 
 @query(f"WITH {MENTION}, {QREL} SELECT mention_id, CASE WHEN mention_id%2=1 THEN 'train' ELSE 'test' END AS split, mention_id NOT IN (SELECT mention_id FROM qrel) AS is_nil FROM ment")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,32 +16,26 @@ from larkspan.plans import views
 DEPENDENCE = (0.29, 0.21, 0.5)
 
 
-def tokens_of(docs: DataFrame) -> float:
-    """Length of the collection."""
-    return float(index.collection_stats(docs).first()["tokens"] or 0)
-
-
 def score(spark: SparkSession, d: str, queries: DataFrame, mu: float = MU) -> DataFrame:
-    """Dirichlet scores of all entries that hold a query word; only query words leave the scan of the articles."""
-    kb = views.kb(spark, d)
-    post = index.postings(kb, only=queries)
-    return retrieve.dirichlet(queries, post, index.term_stats(post), index.lengths(kb), tokens_of(kb), mu)
+    """Dirichlet scores of all entries that hold a query word, from the stored postings of these words."""
+    ix = views.kb_index(spark, d)
+    return retrieve.dirichlet(queries, ix.of(queries), ix.stats_of(queries), ix.lengths(), ix.collection[0], mu)
 
 
 def run(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
-    """The run that later stages start from: the k best entries by the mention's name."""
-    return retrieve.best(score(spark, d, retrieve.query(views.mentions(spark, d), F.slice("terms", 1, 3))), k)
+    """The run that later stages start from: the k best entries by the mention's name, stored once."""
+    return views.kb_index(spark, d).keep(f"run-{k}", lambda: retrieve.best(score(spark, d, retrieve.query(views.mentions(spark, d), F.slice("terms", 1, 3))), k))
 
 
 @query(f"WITH {KB}, {POST} SELECT term, cf, df FROM stats WHERE cf > 1")
 def term_stats(spark, d):
-    return index.term_stats(index.postings(views.kb(spark, d))).where("cf > 1")
+    return views.kb_index(spark, d).stats.where("cf > 1")
 
 
 @query(f"WITH {KB}, {POST} SELECT term, round(ln((docs-df+0.5)/(df+0.5)),6) AS idf FROM stats, coll")
 def idf_table(spark, d):
-    kb = views.kb(spark, d)
-    return index.term_stats(index.postings(kb)).select("term", r6(similarity.idf(F.lit(float(kb.count())), F.col("df"))).alias("idf"))
+    ix = views.kb_index(spark, d)
+    return ix.stats.select("term", r6(similarity.idf(F.lit(ix.collection[1]), F.col("df"))).alias("idf"))
 
 
 @query(f"""WITH {KB}, {POST} SELECT * FROM (SELECT entity_id, term, round(tf/sum(tf) OVER (PARTITION BY entity_id),6) AS p, row_number() OVER (PARTITION BY entity_id ORDER BY tf DESC, term) AS rank FROM post WHERE term NOT IN {stops()}) WHERE rank<=20""")
@@ -56,6 +51,13 @@ def ngram_lm(spark, d):
     return index.language_model(views.mentions(spark, d), 3, "mention_id").withColumn("p", r6("p"))
 
 
+@query(f"""WITH {KB}, g AS (SELECT entity_id, unnest(list_concat(terms, list_transform(range(1,greatest(len(terms),1)), lambda i: terms[i]||' '||terms[i+1]))) AS gram FROM kb)
+SELECT entity_id, gram, count, round(count/total,6) AS p FROM (SELECT entity_id, gram, count(*) AS count, sum(count(*)) OVER (PARTITION BY entity_id) AS total FROM g GROUP BY entity_id, gram) WHERE count>=3""")
+def document_ngram_lm(spark, d):
+    """Words and word pairs that an article holds three times and more, with their share."""
+    return index.language_model(views.kb(spark, d), 2).where("count >= 3").withColumn("p", r6("p"))
+
+
 _SIDES = f"""{KB}, {POST}, {MENTION}, {QREL}, mp AS (SELECT mention_id, term, count(*) AS m FROM (SELECT mention_id, unnest(terms) AS term FROM ment) GROUP BY ALL),
 both0 AS (SELECT mention_id, entity_id, term, m, 0 AS e FROM qrel JOIN mp USING (mention_id) UNION ALL SELECT mention_id, entity_id, term, 0, tf FROM qrel JOIN post USING (entity_id)),
 both_ AS (SELECT mention_id, entity_id, term, sum(m)::DOUBLE AS m, sum(e)::DOUBLE AS e FROM both0 GROUP BY ALL)"""
@@ -64,8 +66,8 @@ both_ AS (SELECT mention_id, entity_id, term, sum(m)::DOUBLE AS m, sum(e)::DOUBL
 def _sides(spark, d) -> DataFrame:
     pairs = views.qrels(spark, d)
     left = index.postings(views.mentions(spark, d), "mention_id")
-    kb = views.kb(spark, d).join(pairs.select("entity_id").distinct(), "entity_id", "left_semi")
-    return similarity.sides(pairs, left, index.postings(kb), "mention_id", "entity_id")
+    post = views.kb_index(spark, d).postings.join(pairs.select("entity_id").distinct(), "entity_id", "left_semi")
+    return similarity.sides(pairs, left, post, "mention_id", "entity_id")
 
 
 @query(f"""WITH {_SIDES}, j AS (SELECT b.*, ln((docs-df+0.5)/(df+0.5)) AS w FROM both_ b JOIN stats USING (term), coll),
@@ -74,8 +76,8 @@ g AS (SELECT mention_id, entity_id, sum(CASE WHEN m>0 AND e>0 THEN w*m*e ELSE 0
 SELECT mention_id, entity_id, round(score,6) AS score, round(CASE WHEN s1*s2=0 THEN 0 ELSE ip/(sqrt(s1)*sqrt(s2)) END,6) AS cosine_shared, round(CASE WHEN ip=0 THEN 0 ELSE ip/(n1+n2-ip) END,6) AS tanimoto, round(CASE WHEN w1*w2=0 THEN 0 ELSE wip/(sqrt(w1)*sqrt(w2)) END,6) AS cosine FROM g""")
 def tfidf_similarity(spark, d):
     both = _sides(spark, d)
-    kb = views.kb(spark, d)
-    stats = index.term_stats(index.postings(kb, only=both)).select("term", similarity.idf(F.lit(float(kb.count())), F.col("df")).alias("idf"))
+    ix = views.kb_index(spark, d)
+    stats = ix.stats.select("term", similarity.idf(F.lit(ix.collection[1]), F.col("df")).alias("idf"))
     t = similarity.tfidf(both, stats, "mention_id", "entity_id")
     return t.select("mention_id", "entity_id", *(r6(c).alias(c) for c in t.columns[2:]))
 
@@ -86,9 +88,8 @@ SELECT mention_id, entity_id, round(least(sum(CASE WHEN p>0 THEN p*ln(p/s) ELSE
 round(sum(CASE WHEN m>0 AND e>0 THEN 1 ELSE 0 END)/count(*),6) AS jaccard FROM j GROUP BY ALL""")
 def kl_js_divergence(spark, d):
     both = _sides(spark, d)
-    kb = views.kb(spark, d)
-    stats = index.term_stats(index.postings(kb, only=both)).select("term", "cf")
-    t = similarity.divergences(both, stats, tokens_of(kb), "mention_id", "entity_id")
+    ix = views.kb_index(spark, d)
+    t = similarity.divergences(both, ix.stats.select("term", "cf"), ix.collection[0], "mention_id", "entity_id")
     return t.select("mention_id", "entity_id", *(r6(c).alias(c) for c in t.columns[2:]))
 
 
@@ -98,8 +99,8 @@ FROM run JOIN qt USING (mention_id) JOIN lens USING (entity_id) LEFT JOIN post U
 def field_likelihood(spark, d):
     kb = views.kb(spark, d)
     q = index.postings(views.mentions(spark, d).select("mention_id", F.slice("terms", 1, 3).alias("terms")), "mention_id").withColumnRenamed("tf", "c")
-    j = run(spark, d).select("mention_id", "entity_id").join(q, "mention_id").join(kb.select("entity_id", F.slice("terms", 1, 3).alias("title"), F.size("terms").alias("len")), "entity_id")
-    j = j.join(index.postings(kb, only=q), ["entity_id", "term"], "left")
+    j = run(spark, d).select("mention_id", "entity_id").join(q, "mention_id").join(kb.select("entity_id", F.slice("terms", 1, 3).alias("title"), "len"), "entity_id")
+    j = j.join(views.kb_index(spark, d).of(q), ["entity_id", "term"], "left")
     in_title = F.size(F.filter("title", lambda w: w == F.col("term"))) / F.size("title")
     return j.groupBy("mention_id", "entity_id").agg(r6(F.sum(F.col("c") * F.log(F.coalesce(F.col("tf") / F.col("len"), F.lit(1e-7))))).alias("body_likelihood"), r6(F.sum(F.col("c") * F.log(in_title + 1e-7))).alias("title_likelihood"))
 
@@ -132,11 +133,14 @@ def seqdep_topk(spark, d):
     couples = pairs.join(n, "mention_id").select("mention_id", F.concat_ws(" ", "a", "b").alias("term"), (1.0 / F.col("n")).alias("weight"))
     mark = lambda k: F.concat(F.lit(f"{k}:"), F.col("term"))
     queries = words.withColumns({"weight": F.col("weight") * _WU, "term": mark(0)})
-    post = index.postings(kb, only=words).withColumn("term", mark(0)).select("entity_id", "term", "tf")
+    ix = views.kb_index(spark, d)
+    post = ix.of(words).withColumn("term", mark(0)).select("entity_id", "term", "tf")
     for k, (weight, p) in enumerate(((_WO, ordered), (_WN, unordered)), 1):
         queries = queries.unionByName(couples.withColumns({"weight": F.col("weight") * weight, "term": mark(k)}))
         post = post.unionByName(p.withColumn("term", mark(k)))
-    return retrieve.best(retrieve.dirichlet(queries, post, index.term_stats(post), index.lengths(kb), tokens_of(kb), MU), 10)
+    # read twice, for statistics and for scores
+    post = post.persist(StorageLevel.DISK_ONLY)
+    return retrieve.best(retrieve.dirichlet(queries, post, index.term_stats(post), ix.lengths(), ix.collection[0], MU), 10)
 
 
 _PARTS = f"""vq AS (SELECT mention_id, terms[1] AS term, 1.0 AS weight FROM ment WHERE len(terms)>0 AND length(terms[1])>3),
@@ -176,10 +180,10 @@ ps AS (SELECT mention_id, entity_id, begin_at, round(sum(weight*ln(1+tf/({MU}*p)
 pb AS (SELECT mention_id, entity_id, begin_at, score FROM (SELECT *, row_number() OVER (PARTITION BY mention_id, entity_id ORDER BY score DESC, begin_at) AS r FROM ps) WHERE r=1), {top_sql('best', 'pb', 10)} SELECT mention_id, entity_id, begin_at, score, rank FROM best""")
 def passage_topk(spark, d):
     """Windows of 50 words every 25: the best of each entry, then the ten best entries."""
-    kb = views.kb(spark, d)
+    ix = views.kb_index(spark, d)
     q = retrieve.query(views.mentions(spark, d), F.slice("terms", 1, 3))
-    hits = index.positions(kb, only=q)
-    stats = hits.groupBy("term").agg((F.count("*") / tokens_of(kb)).alias("p"))
+    hits = index.positions(ix.articles, only=q)
+    stats = ix.stats_of(q).select("term", (F.col("cf") / ix.collection[0]).alias("p"))
     scored = retrieve.passages(hits).join(q.join(stats, "term"), "term").groupBy("mention_id", "entity_id", "begin").agg(r6(F.sum(F.col("weight") * F.log(1 + F.col("tf") / (MU * F.col("p"))))).alias("score"))
     best = scored.groupBy("mention_id", "entity_id").agg(F.max(F.struct("score", (-F.col("begin")).alias("minus"))).alias("b"))
     return retrieve.best(best.select("mention_id", "entity_id", (-F.col("b.minus")).alias("begin_at"), F.col("b.score").alias("score")), 10)
@@ -190,11 +194,10 @@ w AS (SELECT f.* FROM full_ f SEMI JOIN run USING (mention_id, entity_id)), {top
 def working_set_rescore(spark, d):
     """Second pass: the first run's entries, scored by all words of the mention's text. Other entries are never scored."""
     first = run(spark, d).select("mention_id", "entity_id")
-    kb = views.kb(spark, d)
+    ix = views.kb_index(spark, d)
     q = retrieve.query(views.mentions(spark, d), F.col("terms"))
-    stats = index.term_stats(index.postings(kb, only=q))
-    post = index.postings(kb.join(first.select("entity_id").distinct(), "entity_id", "left_semi"), only=q)
-    scored = retrieve.dirichlet(q, post, stats, index.lengths(kb), tokens_of(kb), 2500.0)
+    post = ix.of(q).join(first.select("entity_id").distinct(), "entity_id", "left_semi")
+    scored = retrieve.dirichlet(q, post, ix.stats_of(q), ix.lengths(), ix.collection[0], 2500.0)
     return retrieve.best(retrieve.restrict(scored, first), 10)
 
 
@@ -203,9 +206,9 @@ rm AS (SELECT mention_id, term, round(sum(x/z*tf/len/n),6) AS weight FROM e JOIN
 f AS (SELECT rm.* FROM rm ANTI JOIN nq USING (mention_id, term)) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY weight DESC, term) AS rank FROM f) WHERE rank<=5""")
 def rm_expansion_terms(spark, d):
     """Five best feedback words of each mention that are neither stop words nor in the query."""
-    kb, first = views.kb(spark, d), run(spark, d).select("mention_id", "entity_id", "score")
-    post = index.postings(kb.join(first.select("entity_id").distinct(), "entity_id", "left_semi"))
-    terms = retrieve.feedback_terms(first, post.where(~text.is_stop(F.col("term"))), index.lengths(kb))
+    ix, first = views.kb_index(spark, d), run(spark, d).select("mention_id", "entity_id", "score")
+    post = ix.postings.join(first.select("entity_id").distinct(), "entity_id", "left_semi")
+    terms = retrieve.feedback_terms(first, post.where(~text.is_stop(F.col("term"))), ix.lengths())
     q = retrieve.query(views.mentions(spark, d), F.slice("terms", 1, 3))
     left = terms.join(q, ["mention_id", "term"], "left_anti").withColumn("weight", r6("weight"))
     return top_k(left, "mention_id", [F.desc("weight"), F.asc("term")], 5)

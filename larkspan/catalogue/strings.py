@@ -89,22 +89,22 @@ def acronym_test(spark, d):
 
 
 def _strip(x: str) -> str:
-    for _ in range(4):
-        x = rf"regexp_replace({x},'\([^\(\)]*\)','','g')"
-    return x
+    """Pieces at which as many parentheses have opened as closed."""
+    return rf"""(SELECT coalesce(string_agg(p, '' ORDER BY i), '') FROM (SELECT i, p, sum(CASE p WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER (ORDER BY i) + (CASE p WHEN ')' THEN 1 ELSE 0 END) AS depth FROM
+(SELECT unnest(range(1,len(l)+1)) AS i, unnest(l) AS p FROM (SELECT regexp_extract_all({x},'[^()]+|[()]') AS l))) WHERE depth=0)"""
 
 
-@query(f"SELECT doc_id, sha256({_strip('text')}) AS stripped, length({_strip('text')})::BIGINT AS n FROM documents WHERE contains(text,'(')")
+@query(f"SELECT doc_id, sha256(s) AS stripped, length(s)::BIGINT AS n FROM (SELECT doc_id, {_strip('text')} AS s FROM documents WHERE contains(text,'('))")
 def strip_parentheses(spark, d):
     s = text.strip_parentheses(F.col("text"))
     return views.table(spark, d, "documents").where(F.contains("text", F.lit("("))).select("doc_id", F.sha2(s, 256).alias("stripped"), F.length(s).cast("long").alias("n"))
 
 
-@query(r"""WITH t AS (SELECT page_id, regexp_extract(html,'<title>([^<]*)</title>',1) AS title FROM pages) SELECT page_id, regexp_matches(title,'^(Category:|File:|List of )') AS ignored,
-regexp_matches(lower(title),'click|here|link|website|homepage|read|more|source|external|page|http|www') AS spam, regexp_replace(replace(title,'_',' '),'\([^\(\)]*\)','','g') AS name FROM t""")
+@query(rf"""WITH t AS (SELECT page_id, regexp_extract(html,'<title>([^<]*)</title>',1) AS title FROM pages), n AS (SELECT *, replace(title,'_',' ') AS r FROM t) SELECT page_id, regexp_matches(title,'^(Category:|File:|List of )') AS ignored,
+regexp_matches(lower(title),'{"|".join(text.SPAM_WORDS)}') AS spam, {_strip('r')} AS name FROM n""")
 def title_filters(spark, d):
     p = views.table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
-    return p.select("page_id", text.ignored_title(F.col("title")).alias("ignored"), text.spam_anchor(F.col("title")).alias("spam"), text.strip_parentheses(F.replace("title", F.lit("_"), F.lit(" ")), depth=1).alias("name"))
+    return p.select("page_id", text.ignored_title(F.col("title")).alias("ignored"), text.spam_anchor(F.col("title")).alias("spam"), text.title_to_name(F.col("title")).alias("name"))
 
 
 @query(r"""WITH s AS (SELECT doc_id, list_transform(list_filter(list_transform(string_split(text,'.'), lambda x: trim(x)), lambda x: x<>''), lambda x: x||'.') AS s, regexp_replace(text,'[^A-Za-z0-9]',' ','g') AS c FROM documents)

@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.functions import text
+from larkspan.plans import store
 
 LINK = r'<a href="/([^"]*)">([^<]*)</a>'
-#: Characters of a mention's text that mark an article as its true one.
+#: Characters of a mention's text that mark an article as its true one. The tables name no true
+#: entries, so the judgements are made up from texts; this prefix is their definition, no shortcut.
 EVIDENCE = 60
 
 
@@ -21,7 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kb_index(spark: SparkSession, sf_dir: str) -> store.Index:
+    """The stored index of the articles."""
+    return store.stored(spark, sf_dir, articles(spark, sf_dir))
+
+
 def kb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """entity_id, title, lang, source, terms, len of the stored articles."""
+    return kb_index(spark, sf_dir).articles
+
+
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """entity_id, title (first three words), lang, source, terms."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entity_id"), "lang", "source", text.tokens("text").alias("terms"))
     return d.select("entity_id", F.array_join(F.slice("terms", 1, 3), " ").alias("title"), "lang", "source", "terms")
@@ -37,13 +49,18 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(mention_id, entity_id): the article's text holds the first EVIDENCE characters of the mention's.
 
     Instead of trying every pair, three whole words from the middle of the evidence
-    are looked up among the articles' word trigrams; what meets is verified.
+    are looked up among the articles' word trigrams; what meets is verified. Stored once.
     """
+    return kb_index(spark, sf_dir).keep("qrels", lambda: _qrels(spark, sf_dir))
+
+
+def _qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("mention_id"), F.left("text", F.lit(EVIDENCE)).alias("evidence"))
     m = m.withColumn("gram", F.array_join(F.slice(F.split("evidence", " "), 2, 3), " ")).where(F.size(F.split("evidence", " ")) >= 5)
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entity_id"), "text")
     grams = d.select("entity_id", F.explode(F.array_distinct(text.ngrams(F.split("text", " "), 3))).alias("gram"))
-    met = grams.join(m, "gram").select("mention_id", "entity_id", "evidence")
+    # only grams of mentions leave the scan: the semi-join comes before any shuffle where Spark can broadcast it
+    met = grams.join(m.select("gram").distinct(), "gram", "left_semi").join(m, "gram").select("mention_id", "entity_id", "evidence")
     return met.join(d, "entity_id").where(F.contains("text", "evidence")).select("mention_id", "entity_id").distinct()
 
 
