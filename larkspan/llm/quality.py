@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from larkspan.llm.common import map_columns, small_batches
+from larkspan.llm.common import fresh, map_columns, quoted, small_batches
 from larkspan.llm.spotsigs import ANCHORS
 
 #: Documents that the scorer is fitted on, at most; buckets of the hashed features.
@@ -199,7 +199,7 @@ class Model:
 def fit(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model | None:
     """None where there is nothing to fit on."""
     small_batches(df.sparkSession)
-    texts = df.select(F.col(text).cast("string").alias("t")).where("trim(t) <> ''")
+    texts = df.select(quoted(text).cast("string").alias("t")).where("trim(t) <> ''")
 
     def vote(batches):
         for (ts,) in batches:
@@ -235,13 +235,18 @@ def _score(batches, model: Model | None, text: int, schema: pa.Schema):
         yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(made, schema, strict=True)], schema=schema)
 
 
-def scored(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """All columns of ``df``, then _score: the probability that the text is good."""
+def scored(df: DataFrame, text: str = "text", sample: int = SAMPLE, name: str = "score") -> DataFrame:
+    """All columns of ``df``, then ``name``: the probability that the text is good."""
+    if name in df.columns:
+        raise ValueError(f"column exists: {name}")
     model = fit(df, text, sample)
-    out = T.StructType([*df.schema.fields, T.StructField("_score", T.DoubleType())])
-    return df.mapInArrow(partial(_score, model=model, text=df.columns.index(text), schema=to_arrow_schema(out)), out)
+    out = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
+    # by place, so that any name will do
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return plain.mapInArrow(partial(_score, model=model, text=df.columns.index(text), schema=to_arrow_schema(out)), out)
 
 
 def accepted(df: DataFrame, text: str = "text", least: float = KEEP) -> DataFrame:
     """The rows of ``df`` whose text is scored ``least`` or more."""
-    return scored(df, text).where(F.col("_score") >= least).select(*df.columns)
+    (name,) = fresh(df, "score")
+    return scored(df, text, name=name).where(F.col(name) >= least).select(*map(quoted, df.columns))
