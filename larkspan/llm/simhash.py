@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.common import components, map_columns, materialise, small_batches
+from larkspan.llm.common import components, map_columns, materialise, packed, quoted, small_batches, unpacked
 
 #: The five blocks of bits (first bit, width), and the radius that they serve.
 BLOCKS, RADIUS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12)), 3
@@ -201,7 +201,7 @@ def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id") -> Data
         for keys, texts in batches:
             yield keys, np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64).tolist()
 
-    return map_columns(df.select(key, text), f"{key} long, fp long", run)
+    return map_columns(df.select(quoted(key).cast("long"), quoted(text).cast("string")), f"`{key}` long, fp long", run)
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
@@ -281,24 +281,24 @@ def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", radius: int
     Texts are linked within ``radius`` bits or at a likeness of ``alike``; rows without an
     id link like any other, and stay only if no row of the component has one.
     """
-    own = df.columns
-    keyed = df.withColumns({"_id": F.col(key).cast("long"), "_h": F.xxhash64(text)})
+    keyed = df.select(packed(df).alias("row"), quoted(key).cast("long").alias("id"), F.xxhash64(quoted(text)).alias("h"), quoted(text).cast("string").alias("t"))
     small_batches(df.sparkSession)
 
     def run(batches):
         for keys, hashes, texts in batches:
             yield keys, hashes, np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64).tolist(), [bands(wide_shingles(t)) for t in texts]
 
-    prints, _ = materialise(map_columns(keyed.select("_id", "_h", F.col(text).alias("_t")), "id long, h long, fp long, bands array<long>", run))
+    prints, _ = materialise(map_columns(keyed.select("id", "h", "t"), "id long, h long, fp long, bands array<long>", run))
     nodes = prints.groupBy("fp").agg(F.min("h").alias("node"))
     equal = prints.select("h", "fp").distinct().join(nodes, "fp").where("h <> node").select(F.col("h").alias("a"), F.col("node").alias("b"))
-    near = alike_links(prints.select("h", "bands"), keyed.select(F.col("_h").alias("h"), F.col(text).alias("t")), alike)
+    near = alike_links(prints.select("h", "bands"), keyed.select("h", "t"), alike)
     found = components(links(nodes, radius=radius).union(equal).union(near))
     first = prints.groupBy("h").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("f"))
-    best = first.join(found, first["h"] == found["node"], "left").groupBy(F.coalesce("component", "h").alias("group")).agg(F.min("f").alias("f")).select(F.col("f.id").alias("_id"), F.col("f.h").alias("_h"))
-    same = (keyed["_id"].eqNullSafe(best["_id"])) & (keyed["_h"] == best["_h"])
-    chosen = keyed.join(best, same, "left_semi")
+    best = first.join(found, first["h"] == found["node"], "left").groupBy(F.coalesce("component", "h").alias("group")).agg(F.min("f").alias("f")).select(F.col("f.id").alias("id"), F.col("f.h").alias("h"))
+    rows = keyed.select("row", "id", "h")
+    chosen = rows.join(best, rows["id"].eqNullSafe(best["id"]) & (rows["h"] == best["h"]), "left_semi")
     # rows that repeat an id and a text: one stays
-    again = prints.groupBy("id", "h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("_id2"), F.col("h").alias("_h2"), F.lit(True).alias("_again"))
-    chosen = chosen.join(again, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2")), "left")
-    return chosen.where("_again is null").select(*own).unionByName(chosen.where("_again").dropDuplicates(["_id", "_h"]).select(*own))
+    again = prints.groupBy("id", "h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("id2"), F.col("h").alias("h2"), F.lit(True).alias("again"))
+    chosen = chosen.join(again, F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2")), "left")
+    once = chosen.where("again").dropDuplicates(["id", "h"])
+    return unpacked(chosen.where("again is null").select("row").union(once.select("row")), df)
