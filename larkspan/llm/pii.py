@@ -16,8 +16,8 @@ marks of personal data to learn from. A span is added only where the best
 segmentation holds it, its share of the forward-backward sum is at least ``SURE``,
 and it touches no base span.
 
-Every whole text is searched, in linear time: mail addresses are found from their
-at sign. No shuffle. Null and empty texts have no spans; repeated rows give
+Every whole text is searched: mail addresses are found from their at sign, and what
+is taken already by binary search, so the time is about linear. No shuffle. Null and empty texts have no spans; repeated rows give
 repeated rows; rows with a null id are scanned like any other; other columns are
 ignored.
 """
@@ -27,12 +27,13 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from larkspan.llm.common import map_columns, small_batches
+from larkspan.llm.common import map_columns, quoted, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LONGEST, AROUND, SURE = 16, 3, 0.8
@@ -95,7 +96,10 @@ _SPELLED = re.compile(r"(?:[(\[{]\s?at\s?[)\]}]|\sat\s)\s?[\w-]{1,64}\s?(?:[(\[{
 _LAST_WORDS = re.compile(r"(?:\S+\s+){0,%d}\S*$" % AROUND)
 _HINTS = ({"mail", "email", "contact", "write"}, {"ip", "host", "server", "address"}, {"card", "visa", "credit", "pay", "number"}, {"phone", "tel", "call", "fax", "mobile", "telephone"})
 _AT, _DOT = re.compile(r"@|[(\[{ ]\s?at\s?[)\]} ]", re.I), re.compile(r"\.|[(\[{ ]\s?dot\s?[)\]} ]", re.I)
-N_FEATURES = 27
+#: A mail address, and the ways to write its signs in words.
+_ADDRESS = re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+")
+_SAID_AT, _SAID_DOT = re.compile(r"\s?[(\[{]\s?at\s?[)\]}]\s?|\sat\s", re.I), re.compile(r"\s?[(\[{]\s?dot\s?[)\]}]\s?|\sdot\s", re.I)
+N_FEATURES = 29
 
 
 def features(tokens: list[tuple[str, int]], a: int, b: int) -> list[float]:
@@ -134,6 +138,8 @@ def features(tokens: list[tuple[str, int]], a: int, b: int) -> list[float]:
         float((a == 0 or tokens[a - 1][0][0].isspace()) and (b == len(tokens) or tokens[b][0][0] in " \t\n.,;:!?)")),
         float(ats == 1 and dots >= 1 and span[0].isalnum() and span[-1].isalnum()),
         float(0 < n < 7),
+        float(ats == 1 and bool(_ADDRESS.fullmatch(_SAID_DOT.sub(".", _SAID_AT.sub("@", span))))),
+        float(letters == 0 and sizes in ([3, 3, 4], [3, 4, 4]) and ends_free),
         *(float(bool(before & h)) for h in _HINTS),
     ]
 
@@ -244,26 +250,34 @@ def train(seed: int = 7, regions: int = 320, epochs: int = 40) -> np.ndarray:
 def added_spans(text: str, base: list[Span], w: np.ndarray) -> list[Span]:
     """Spans of the model that touch no base span."""
     out: list[Span] = []
-    taken = sorted((a, b) for _, a, b in base)
-    starts = [(m.start(), m.end()) for m in _NUMBER.finditer(text)]
-    if "dot" in text or "DOT" in text:
-        starts += [(m.start(), m.end()) for m in _SPELLED.finditer(text)]
-    for start, end in starts:
-        if any(a < end and start < b for a, b in taken):
+    # what is taken, without overlaps, so that both ends are sorted
+    begins: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a < ends[-1]:
+            ends[-1] = max(b, ends[-1])
+        else:
+            begins.append(a)
+            ends.append(b)
+    regions = [m.span() for m in _NUMBER.finditer(text)] + [m.span() for m in _SPELLED.finditer(text)]
+    for start, end in sorted(regions):
+        i = bisect_right(ends, start)  # those before i end at or before the region
+        if i < len(begins) and begins[i] < end:
             continue
         low = max(0, start - 80)
-        lo = low + _LAST_WORDS.search(text[low:start]).start()
-        hi = min(len(text), end + 30)
-        lo = max([lo, *(b for _, b in taken if b <= start)])
-        hi = min([hi, *(a for a, _ in taken if a >= end)])
+        lo = max(low + _LAST_WORDS.search(text[low:start]).start(), ends[i - 1] if i else 0)
+        hi = min(len(text), end + 30, begins[i] if i < len(begins) else len(text))
         tokens = tokens_of(text, lo, hi)
         spans, _, scores = potentials(tokens, w)
         _, share = forward_backward(len(tokens), spans, scores)
-        for i, k in best_path(len(tokens), spans, scores):
-            if share[i, k] >= SURE:
-                a, b = spans[i]
+        for x, k in best_path(len(tokens), spans, scores):
+            if share[x, k] >= SURE:
+                a, b = spans[x]
                 s, e = tokens[a][1], tokens[b - 1][1] + len(tokens[b - 1][0])
-                if not any(x < e and s < y for x, y in taken) and not any(x < e and s < y for _, x, y in out):
+                j = bisect_right(ends, s)
+                if j == len(begins) or begins[j] >= e:
+                    begins.insert(j, s)
+                    ends.insert(j, e)
                     out.append((k, s, e))
     return out
 
@@ -284,4 +298,4 @@ def find(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
             counts = [[sum(s[0] == k for s in b) for b in bases] for k in range(len(KINDS))]
             yield keys, *counts, [hashlib.sha256(written(b).encode()).hexdigest() for b in bases], [written(s) for s in every]
 
-    return map_columns(df.select(key, text), f"{key} long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string", run)
+    return map_columns(df.select(quoted(key).cast("long"), quoted(text).cast("string")), f"`{key}` long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string", run)
