@@ -28,7 +28,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.scored(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.col("_score").alias("score"), (F.col("_score") >= quality.KEEP).alias("accepted"))
+    return found.select("doc_id", "score", (F.col("score") >= quality.KEEP).alias("accepted"))
 
 
 def op4_pivot_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,12 +56,17 @@ def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.adjacent(table(spark, sf_dir, "documents"))
 
 
+def near_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose fingerprints are alike at 0.8: length partitions and pruned Jaccard."""
+    return spotsigs.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
+    return {k: v for k, v in globals().items() if k.startswith(("op", "near_")) and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:

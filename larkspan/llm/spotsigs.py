@@ -1,15 +1,16 @@
 """Document fingerprints by SpotSigs (operator 8).
 
 An anchor is a common word; its signature is the anchor and the ``CHAIN`` content
-words (words that are no anchors) that follow it. The fingerprint of a text is
-the sorted set of its signatures, hashed to 32 bits each and written in hex. A
-text with fewer than ``FEW`` signatures takes every word as an anchor (chains of
-the words that follow); one without words hashes to the empty set.
+words (words that are no anchors) that follow it. The start of a text is an anchor
+too, with what content words there are (without any, with the words, or the signs, of
+the whole text), so only the empty text has no signature. The fingerprint of a text is
+the sorted set of its signatures, hashed to 32 bits each and written in hex.
 
 Likeness is the Jaccard coefficient of two sets. ``jaccard`` prunes: it gives up
 as soon as the sizes, or what is left to read, can't reach the threshold.
 ``near_duplicates`` deals fingerprints to partitions of set length, so that a set meets
-only those whose length allows the threshold.
+only those whose length allows the threshold; ``adjacent`` asks for the exact
+likeness of given pairs, where nothing can be pruned.
 
 ``adjacent`` compares each document to its edited text, whose last half is taken
 from the start of the next document in descending order of the id. The order
@@ -32,10 +33,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.common import components, map_columns, materialise, small_batches
+from larkspan.llm.common import components, map_columns, materialise, quoted, small_batches
 from larkspan.llm.simhash import Forest
 
-CHAIN, FEW = 2, 3
+CHAIN = 2
 WORD = re.compile(r"[^\W_]+")
 ANCHORS = frozenset(
     """a an the and or of to in on at by for with from as is are was were be been it its this that these those he she they we you i his her their our your not no but if than then there
@@ -52,16 +53,14 @@ def signatures(text: str | None) -> list[int]:
     digest = xxhash.xxh32_intdigest
     content = [w for w in words if w not in common]
     out, seen = set(), 0  # seen: content words so far, so the chain of an anchor is a slice
+    if text:
+        out.add(digest("\n" + " ".join(content[:CHAIN] or words or [text])))
     for w in words:
         if w in common:
             if seen + CHAIN <= len(content):
                 out.add(digest(" ".join([w, *content[seen : seen + CHAIN]])))
         else:
             seen += 1
-    if len(out) < FEW:
-        out |= {digest(" ".join(words[i : i + CHAIN + 1])) for i in range(max(1, len(words) - CHAIN) if words else 0)}
-        if not words and text:
-            out.add(digest(text))
     return sorted(out)
 
 
@@ -96,7 +95,7 @@ def adjacent(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     """Per row: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     spark = df.sparkSession
     small_batches(spark)
-    rows = df.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = df.select(quoted(key).cast("long").alias("id"), F.coalesce(quoted(text).cast("string"), F.lit("")).alias("text"))
     # buckets of ids, several to a partition; their number follows the cluster, not the data
     parts = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = rows.select("id").where("id is not null").agg(F.percentile_approx("id", [i / (4 * parts) for i in range(1, 4 * parts)], 10000).alias("cuts")).first()["cuts"] or []
@@ -126,7 +125,7 @@ def adjacent(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
                 held = None if guest else (bucket, ident, text, sigs)
             yield out
 
-    return map_columns(dealt.select("bucket", "id", "text", "guest"), f"{key} long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double", run)
+    return map_columns(dealt.select("bucket", "id", "text", "guest"), f"`{key}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double", run)
 
 
 def _place(x, cuts: list[int], low: int = 0):
@@ -192,16 +191,20 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, text: str = "text", k
         for keys, texts in batches:
             yield keys, [written(signatures(t)) for t in texts]
 
-    sets, _ = materialise(map_columns(df.select(key, text).where(F.col(key).isNotNull()), "id long, fp string", run))
-    classes = sets.where("fp <> ''").groupBy("fp").agg(F.min("id").alias("node"))
+    sets, _ = materialise(map_columns(df.select(quoted(key).cast("long").alias("id"), quoted(text).cast("string").alias("t")).where("id is not null"), "id long, fp string", run))
+    classes, _ = materialise(sets.where("fp <> ''").groupBy("fp").agg(F.min("id").alias("node")))
     n = (F.length("fp") / 8).cast("int")
     part = F.floor(F.log(n.cast("double")) / -F.log(F.lit(threshold)) + 1e-9).cast("int")
     prefix = n - F.ceil(n * threshold - 1e-9).cast("int") + 1
     sigs = F.transform(F.sequence(F.lit(0), prefix - 1), lambda i: F.expr("fp").substr(i * 8 + 1, F.lit(8)))
-    keyed = classes.select("node", "fp", part.alias("part"), F.explode(sigs).alias("sig")).select("node", "fp", F.explode(F.array("part", F.col("part") + 1)).alias("part"), "sig").withColumn("key", F.xxhash64("part", "sig")).drop("part", "sig")
+    keys = F.flatten(F.transform(F.array(part, part + 1), lambda p: F.transform(sigs, lambda s: F.xxhash64(p, s))))
+    keyed = classes.select("node", F.explode(keys).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    met = keyed.join(sizes, "key").withColumn("c", F.ceil(F.col("m") / block).cast("int")).withColumn("i", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
-    dealt = met.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("c") - 1))).select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), "node", "fp").repartition("key").sortWithinPartitions("key")
+    # the sets join only what meets others
+    met, _ = materialise(keyed.join(sizes, "key"))
+    met = met.withColumn("c", F.ceil(F.col("m") / block).cast("int")).withColumn("i", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
+    dealt = met.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("c") - 1))).select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), "node")
+    dealt = dealt.join(classes, "node").select("key", "node", "fp").repartition("key").sortWithinPartitions("key")
     found = components(map_columns(dealt, "a long, b long", _similar(threshold)).distinct())
     named = classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return sets.join(named, "fp", "left").select(F.col("id").alias(key), F.coalesce("component_id", "id").alias("component_id"))
