@@ -18,13 +18,18 @@ most ``FDR`` of the strings are others, or their excess is within ``NOISE`` stan
 deviations of none; strings below it are left alone. The
 ``BANDS`` limits at most are gathered and stand in the plan as literals.
 
+Strings that a base span covers aren't tested: assignments are blanked out first, and
+access keys and hex strings lie within one string. The battery runs once: what it says
+is written to the shared scratch folder with what the result needs, the limits are
+counted there, and the spans are read from there.
+
 Positions come from splitting at the matches and summing the lengths, in code
-points. Prefix sums go by blocks, so a text with very many matches costs little
+points. Running sums and maxima go by blocks, so a text with very many matches costs little
 more than linear time. No shuffle but that of the counts.
 
 Null and empty texts have no spans; repeated rows give repeated rows; rows with a
 null id are scanned like any other; other columns of the input are ignored or, for
-``redact``, kept.
+``redact``, kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.common import materialise
+from larkspan.llm.common import materialise, packed, quoted
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -44,21 +49,25 @@ MASK = "[secret]"
 _BLOCK = 64
 
 
-def _prefix_sums(a: Column) -> Column:
-    """Running sums of an array of ints, the total included."""
+def _running(a: Column, start: int, op) -> Column:
+    """``op`` of each element of an array of ints and all before it, by blocks."""
 
     def running(x: Column) -> Column:
-        zero = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("sum"))
-        step = lambda acc, v: F.struct(F.array_append(acc["out"], acc["sum"] + v).alias("out"), (acc["sum"] + v).alias("sum"))
+        zero = F.struct(F.array().cast("array<int>").alias("out"), F.lit(start).alias("now"))
+        step = lambda acc, v: F.struct(F.array_append(acc["out"], op(acc["now"], v)).alias("out"), op(acc["now"], v).alias("now"))
         return F.aggregate(x, zero, step)["out"]
 
     starts = F.sequence(F.lit(0), F.floor((F.size(a) - 1) / _BLOCK).cast("int"))
     blocks = F.transform(starts, lambda b: F.slice(a, b * _BLOCK + 1, F.lit(_BLOCK)))
-    totals = F.concat(F.array(F.lit(0)), running(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda x, y: x + y))))
-    large = F.flatten(F.zip_with(F.transform(blocks, running), F.slice(totals, 1, F.size(blocks)), lambda b, base: F.transform(b, lambda v: v + base)))
+    totals = F.concat(F.array(F.lit(start)), running(F.transform(blocks, lambda b: F.aggregate(b, F.lit(start), op))))
+    large = F.flatten(F.zip_with(F.transform(blocks, running), F.slice(totals, 1, F.size(blocks)), lambda b, base: F.transform(b, lambda v: op(v, base))))
     return F.when(F.size(a) == 0, F.array().cast("array<int>")).when(F.size(a) <= _BLOCK, running(a)).otherwise(large)
 
 
+def _prefix_sums(a: Column) -> Column:
+    return _running(a, 0, lambda x, y: x + y)
+
+
 def _found(df: DataFrame, text: str, name: str, pattern: str) -> DataFrame:
     """Adds ``name``: array of (start, end, value) of the matches; value is group 1 or the match."""
     grouped = pattern == ASSIGN
@@ -121,10 +130,19 @@ def _band(n: Column) -> Column:
     return F.least(F.lit(BANDS - 1), F.floor(F.log(n / 20.0) / F.log(F.lit(1.5)))).cast("int")
 
 
-def candidates(df: DataFrame, text: str, name: str = "_random") -> DataFrame:
-    """Adds ``name``: array of (start, end, band, bin, hash) of the strings that the battery tests."""
+def blanked(text: str, assign: str) -> Column:
+    """The text with the assignments (base spans) turned to blanks of the same length."""
+    pieces, m = F.split(text, ASSIGN, -1), F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(0))
+    fill = F.zip_with(m, assign, lambda x, s: F.when(F.length(s["value"]) >= 6, F.repeat(F.lit(" "), F.length(x))).otherwise(x))
+    joined = F.concat(F.array_join(F.zip_with(F.slice(pieces, 1, F.size(m)), fill, lambda a, b: F.concat(a, b)), ""), F.element_at(pieces, -1))
+    return F.when(F.size(assign) > 0, joined).otherwise(F.col(text))
+
+
+def candidates(df: DataFrame, text: str, name: str = "random") -> DataFrame:
+    """Adds ``name``: array of (start, end, band, bin, hash) of the strings that the battery tests; null for none."""
     df = _found(df, text, "_c", CANDIDATE)
-    df = df.withColumn("_c", F.when(F.size("_c") > 0, F.filter("_c", lambda c: c["value"].rlike("[0-9]") & c["value"].rlike("[A-Za-z]"))))
+    tested = lambda c: c["value"].rlike("[0-9]") & c["value"].rlike("[A-Za-z]") & ~c["value"].rlike(HEX) & ~c["value"].rlike(ACCESS)
+    df = df.withColumn("_c", F.when(F.size("_c") > 0, F.filter("_c", tested)))
     df = df.withColumn("_p", F.when(F.size("_c") > 0, F.transform("_c", lambda c: _tests(c["value"]))))
     made = F.zip_with("_c", "_p", lambda c, p: F.struct(c["start"].alias("start"), c["end"].alias("end"), _band(F.length(c["value"])).alias("band"), F.least(F.lit(BINS - 1), F.floor(p * BINS)).cast("int").alias("bin"), F.xxhash64(c["value"]).alias("hash")))
     return df.withColumn(name, F.when(F.size("_c") > 0, made)).drop("_c", "_p")
@@ -144,28 +162,26 @@ def limits(counts: DataFrame) -> DataFrame:
     return held.select("band", F.coalesce(F.array_min(good), F.lit(BINS)).alias("least"))
 
 
-def scan(df: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of ``df``, then _base and _spans: sorted arrays of (start, kind, end), kind a place in KINDS."""
-    own = df.columns
-    whole = df.withColumn("_text", F.coalesce(F.col(text).cast("string"), F.lit("")))
-    counts = candidates(whole.select("_text"), "_text").where("_random is not null").select(F.explode("_random").alias("c")).select("c.band", "c.bin", "c.hash").distinct().groupBy("band", "bin").agg(F.count("*").alias("n"))
-    counts, _ = materialise(counts)  # read three times
-    # at most BANDS rows
-    least = F.create_map(*(F.lit(int(x)) for r in limits(counts).orderBy("band").collect() for x in r), F.lit(-1), F.lit(BINS))
-    found = whole
-    for name, pattern in (("_assign", ASSIGN), ("_access", ACCESS), ("_hex", HEX)):
-        found = _found(found, "_text", name, pattern)
-    found = candidates(found, "_text")
+def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(row, base, spans) of each row: a struct of the columns ``keep`` (all), and sorted arrays of (start, kind, end), kind a place in KINDS."""
+    row = packed(df if keep is None else df.select(*map(quoted, keep)))
+    found = df.select(row.alias("row"), F.coalesce(quoted(text).cast("string"), F.lit("")).alias("text"))
+    for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX)):
+        found = _found(found, "text", name, pattern)
+    found = candidates(found.withColumn("rest", blanked("text", "assign")), "rest")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
 
     def kind(name: str, k: int, ok) -> Column:
         return F.when(F.size(name) > 0, F.transform(F.filter(name, ok), lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end")))).otherwise(none)
 
-    base = F.array_sort(F.concat(kind("_assign", 0, lambda s: F.length(s["value"]) >= 6), kind("_access", 1, lambda s: F.lit(True)), kind("_hex", 2, lambda s: F.lit(True))))
-    found = found.withColumn("_base", base)
-    extra = kind("_random", 3, lambda s: (s["bin"] >= F.coalesce(least[s["band"]], F.lit(BINS))) & ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    found = found.withColumn("_spans", F.array_sort(F.concat(F.col("_base"), extra)))
-    return found.select(*own, "_base", "_spans")
+    base = F.array_sort(F.concat(kind("assign", 0, lambda s: F.length(s["value"]) >= 6), kind("access", 1, lambda s: F.lit(True)), kind("hex", 2, lambda s: F.lit(True))))
+    found, _ = materialise(found.select("row", base.alias("base"), "random"))
+    counts = found.where("random is not null").select(F.explode("random").alias("c")).select("c.band", "c.bin", "c.hash").distinct().groupBy("band", "bin").agg(F.count("*").alias("n"))
+    counts, _ = materialise(counts)  # read three times
+    # at most BANDS rows
+    least = F.create_map(*(F.lit(int(x)) for r in limits(counts).orderBy("band").collect() for x in r), F.lit(-1), F.lit(BINS))
+    extra = kind("random", 3, lambda s: s["bin"] >= F.coalesce(least[s["band"]], F.lit(BINS)))
+    return found.select("row", "base", F.array_sort(F.concat("base", extra)).alias("spans"))
 
 
 def written(spans: str) -> Column:
@@ -176,9 +192,20 @@ def written(spans: str) -> Column:
 
 def digest(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row: key, counts of the base kinds, base_sha256, spans."""
-    found = scan(df.select(key, text), text)
-    count = lambda k: F.size(F.filter("_base", lambda s: s["kind"] == k)).cast("long")
-    return found.select(key, count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(written("_base"), 256).alias("base_sha256"), written("_spans").alias("spans"))
+    found = scan(df, text, [key])
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select(F.col("row")[key].alias(key), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """The text with every span replaced by ``MASK``; overlapping spans by one. Spans are sorted by their start."""
+    ends = _running(F.transform(spans, lambda s: s["end"]), 0, lambda x, y: F.greatest(x, y))
+    # of each span: where the ones before it end, or null if it overlaps them
+    open_ = F.zip_with(F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.size(ends) - 1)), spans, lambda e, s: F.when((e <= s["start"]), F.struct(e.alias("a"), s["start"].alias("b"))))
+    chars = F.split(text, "", -1)
+    pieces = F.transform(F.filter(open_, lambda p: p.isNotNull()), lambda p: F.concat(F.array_join(F.slice(chars, p["a"] + 1, p["b"] - p["a"]), ""), F.lit(MASK)))
+    last = F.element_at(ends, -1)
+    return F.concat(F.array_join(pieces, ""), F.array_join(F.slice(chars, last + 1, F.greatest(F.lit(0), F.size(chars) - last)), ""))
 
 
 def redact(df: DataFrame, text: str = "text", changed: str | None = None) -> DataFrame:
@@ -186,16 +213,9 @@ def redact(df: DataFrame, text: str = "text", changed: str | None = None) -> Dat
 
     ``changed``: adds a column of that name, whether the text has changed.
     """
-    own = df.columns
+    if changed in df.columns:
+        raise ValueError(f"column exists: {changed}")
     found = scan(df, text)
-    kind = "array<struct<a:int,b:int>>"
-    one = lambda s: F.array(F.struct(s["start"].alias("a"), s["end"].alias("b")))
-    merged = F.aggregate(
-        "_spans",
-        F.array().cast(kind),
-        lambda m, s: F.when((F.size(m) > 0) & (F.try_element_at(m, F.lit(-1))["b"] > s["start"]), F.concat(F.slice(m, 1, F.size(m) - 1), F.array(F.struct(F.try_element_at(m, F.lit(-1))["a"].alias("a"), F.greatest(F.try_element_at(m, F.lit(-1))["b"], s["end"]).alias("b"))))).otherwise(F.concat(m, one(s))),
-    )
-    found = found.withColumn("_m", F.when(F.size("_spans") > 0, merged))
-    before = F.transform("_m", lambda s, i: F.concat(F.substring(text, F.when(i == 0, 1).otherwise(F.try_element_at("_m", i)["b"] + 1), s["a"] - F.when(i == 0, 0).otherwise(F.try_element_at("_m", i)["b"])), F.lit(MASK)))
-    masked = F.concat(F.array_join(before, ""), F.expr(f"substring(`{text}`, element_at(_m, -1).b + 1)"))
-    return found.withColumn(text, F.when(F.size("_spans") > 0, masked).otherwise(F.col(text))).select(*own, *([(F.size("_spans") > 0).alias(changed)] if changed else []))
+    some = F.size("spans") > 0
+    own = [F.when(some, masked(F.col("row")[c], F.col("spans"))).otherwise(F.col("row")[c]).alias(c) if c == text else F.col("row")[c].alias(c) for c in df.columns]
+    return found.select(*own, *([some.alias(changed)] if changed else []))
