@@ -64,6 +64,20 @@ def simhash_components(rows):
     return sorted((d, f"{f[d]:016x}", r[d]) for d in ids)
 
 
+def near_firsts(rows, size=5, alike=0.8):
+    """The least ids of groups linked within 3 bits, or by a Jaccard coefficient of word shingles."""
+    sets, at = {}, defaultdict(list)
+    for d, t in rows:
+        w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets[d] = {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+        for s in sets[d]:
+            at[s].append(d)
+    met = {(a, b) for own in at.values() for i, a in enumerate(own) for b in own[i + 1 :]}
+    pairs = [(a, b) for a, b in met if len(sets[a] & sets[b]) >= alike * len(sets[a] | sets[b])]
+    pairs += [(d, c) for d, _, c in simhash_components(rows) if d != c]
+    return set(roots(sets, pairs).values())
+
+
 def vector_components(rows, threshold=0.98):
     good = {}
     for i, v, label in rows:

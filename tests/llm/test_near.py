@@ -89,6 +89,12 @@ def test_keep_one_alike(spark):
     want = set(brute.roots(sets, pairs).values())
     assert {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
     assert len(want) < len(rows) - 40
+    clashing = {c: F.col("doc_id") for c in ("_id", "_h", "id", "h", "row", "t", "again", "a.b")}
+    more = spark.createDataFrame(rows, "doc_id long, text string").withColumns(clashing)
+    kept = simhash.keep_one(more)
+    assert kept.columns == more.columns
+    kept = kept.collect()
+    assert {r.doc_id for r in kept} == want and all(r[c] == r.doc_id for r in kept for c in clashing)
     nameless = spark.createDataFrame([(None, t) for _, t in rows[:2]], "doc_id long, text string")
     assert simhash.keep_one(nameless).count() == 1
 
@@ -111,6 +117,32 @@ def test_vectors(spark, block):
     assert pivots.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [3000, 9000])
+def test_vectors_recall(spark, n):
+    """More vectors than pivots, many pairs just above the threshold: recall, and candidates that grow as the vectors."""
+    rng = np.random.default_rng(n)
+    unit = lambda m: m / np.linalg.norm(m, axis=-1, keepdims=True)
+    a = unit(rng.normal(size=(n // 2, 32)))
+    w = rng.normal(size=a.shape)
+    w = unit(w - (w * a).sum(axis=1, keepdims=True) * a)
+    cos = rng.uniform(0.975, 0.99, size=(n // 2, 1))
+    m = np.float32(np.vstack([a, cos * a + np.sqrt(1 - cos**2) * w]))
+    d = m.astype(np.float64)
+    d /= np.linalg.norm(d, axis=1, keepdims=True)
+    want = np.zeros(n, dtype=int)
+    for i in range(0, n, 1000):
+        want[i : i + 1000] = (d[i : i + 1000] @ d.T >= 0.98).sum(axis=1) - 1
+    assert pivots.pivot_number(n) < n / 10
+    got = pivots.near_vectors(spark.createDataFrame([(i, v, 0) for i, v in enumerate(m.tolist())], "vec_id long, embedding array<float>, label int"))
+    got = np.array([r.n_links for r in got.orderBy("vec_id").collect()])
+    assert (got <= want).all()
+    print(n, "recall", got.sum() / want.sum(), want.sum())
+    assert got.sum() >= 0.97 * want.sum() > 0.3 * n
+    keys = np.sort(pivots.lists(pivots.permutations(d, d[: pivots.pivot_number(n)])), axis=None)
+    sizes = np.diff(np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True]))
+    assert (sizes * (sizes - 1) // 2).sum() < 200 * n
+
+
 def crowded(n=900, share=3, size=64, seed=4):
     """One row in ``share`` is a near copy of one vector (pairwise cosine about 0.985); of the others, some have a near copy."""
     rng = np.random.default_rng(seed)

@@ -59,8 +59,10 @@ def test_secrets(spark, odd):
 
 
 def test_redact(odd):
-    kept = secrets.redact(odd)
-    assert kept.columns == odd.columns
+    clashing = {c: F.col("doc_id") for c in ("_m", "_text", "_spans", "row", "base", "random", "spans", "rest", "a.b")}
+    kept = secrets.redact(odd.withColumns(clashing))
+    assert kept.columns == [*odd.columns, *clashing]
+    assert all(r[c] == r.doc_id for r in kept.collect() for c in clashing)
     texts = {r.doc_id: r.text for r in kept.collect()}
     assert texts[20].startswith("token=token:abcdefg [secret]' é😀 [secret] [secret] AKIASHORT")
     assert texts[21] == "[secret] " * 700 + "secret: x"
@@ -82,7 +84,36 @@ def test_limits_copies_and_thin_bands(spark):
     rnd = random.Random(9)
     al = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
     df = spark.createDataFrame([(i, "".join(rnd.choices(al, k=32))) for i in range(200)], "doc_id long, text string")
-    hot = next(r for r in secrets.candidates(df, "text").where("_random is not null").orderBy("doc_id").collect() if r._random[0].bin == 6)
+    hot = next(r for r in secrets.candidates(df, "text").where("random is not null").orderBy("doc_id").collect() if r.random[0].bin == 6)
     copies = spark.createDataFrame([(1000 + i, hot.text) for i in range(200)], df.schema)
     flagged = lambda d: {r.doc_id for r in secrets.digest(d).where("doc_id < 1000 and spans like '%random%'").collect()}
     assert flagged(df) == flagged(df.union(copies))
+
+
+def test_masked(spark):
+    """Overlaps, neighbours and very many spans, against a plain version."""
+    rnd = random.Random(3)
+    rows = []
+    for k in range(60):
+        text = "".join(rnd.choices("ab é😀", k=rnd.choice((5, 60, 700))))
+        spans = sorted({(a, 0, min(len(text), a + rnd.randint(1, 9))) for a in rnd.choices(range(len(text)), k=rnd.choice((1, 4, 150)))})
+        rows.append((k, text, spans))
+    df = spark.createDataFrame(rows, "k int, t string, s array<struct<start:int,kind:int,end:int>>")
+    got = {r.k: r.m for r in df.select("k", secrets.masked(F.col("t"), F.col("s")).alias("m")).collect()}
+    for k, text, spans in rows:
+        out, end = "", 0
+        for a, _, b in spans:
+            if a >= end:
+                out += text[end:a] + secrets.MASK
+            end = max(end, b)
+        assert got[k] == out + text[end:]
+
+
+def test_strings_in_base_spans_are_left_out(spark):
+    rnd = random.Random(2)
+    draw = lambda n: "".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    rows = [(0, f"token={draw(40)} and {draw(41)}"), (1, f"{draw(20)}_secret: {draw(40)}"), (2, "AKIA" + "Q7" * 9 + "x1 0123456789abcdef01234567Zz")]
+    got = {r.doc_id: r.spans for r in secrets.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].startswith("assign:0:46,random:51:92")
+    assert got[1].split(",")[-1] == "assign:21:69"
+    assert "random" not in got[2]
