@@ -220,7 +220,7 @@ def feedback_neighbors(spark, d):
 b0 AS (SELECT mention_id, entity_id, term, m, 0 AS e FROM run JOIN mp USING (mention_id) UNION ALL SELECT mention_id, entity_id, term, 0, tf FROM run JOIN post USING (entity_id)), b AS (SELECT mention_id, entity_id, term, sum(m)::DOUBLE AS m, sum(e)::DOUBLE AS e FROM b0 GROUP BY ALL),
 l AS (SELECT mention_id, entity_id, sum(m) AS lm, sum(e) AS le FROM b GROUP BY ALL), j AS (SELECT b.*, m/lm AS p, CASE WHEN le>0 THEN e/le ELSE 0 END AS q, (e+1000.0*coalesce(cf,1)/tokens)/(le+1000.0) AS s FROM b JOIN l USING (mention_id, entity_id) LEFT JOIN stats USING (term), coll)
 SELECT mention_id, entity_id, round(least(sum(CASE WHEN p>0 THEN p*ln(p/s) ELSE 0 END),100),6) AS kl, round(least(sum((CASE WHEN p>0 THEN p*ln(p/((p+q)/2)) ELSE 0 END)/2+(CASE WHEN q>0 THEN q*ln(q/((p+q)/2)) ELSE 0 END)/2),100),6) AS js,
-round(sum(CASE WHEN m>0 AND e>0 THEN 1 ELSE 0 END)/count(*),6) AS jaccard FROM j GROUP BY ALL""")
+round(sum(CASE WHEN m>0 AND e>0 THEN 1 ELSE 0 END)/count(*),6) AS jaccard, round(CASE WHEN sum(m*m)*sum(e*e)=0 THEN 0 ELSE sum(m*e)/(sqrt(sum(m*m))*sqrt(sum(e*e))) END,6) AS cosine FROM j GROUP BY ALL""")
 def candidate_similarity(spark, d):
     """Divergences of each mention's text and each of its candidates', smoothed with 1000."""
     ix, pairs = views.kb_index(spark, d), run(spark, d).select("mention_id", "entity_id")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -201,3 +201,27 @@ def sentences(df: DataFrame, key: str, body: str) -> DataFrame:
 def uniform(df: DataFrame, group: str) -> Column:
     """1 / n within a group."""
     return 1.0 / F.count("*").over(Window.partitionBy(group))
+
+
+def sentence_of(body: Column, begin: Column) -> Column:
+    """Number, from 1, of the sentence that an offset lies in: the full stops before it."""
+    before = F.substring(body, F.lit(1), begin)
+    return F.length(before) - F.length(F.replace(before, F.lit("."), F.lit(""))) + 1
+
+
+def sentence_names(sentences: DataFrame, targets: DataFrame, key: str) -> DataFrame:
+    """(key, name, n): capitalised words of the sentences that hold the target, without the target's own.
+
+    ``sentences``: (key, text); ``targets``: (key, target).
+    """
+    held = sentences.join(targets, key).where(F.contains("text", F.col("target")))
+    names = held.select(key, "target", F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0))).alias("name"))
+    return names.where(~F.contains("target", F.col("name"))).groupBy(key, "name").agg(F.count("*").alias("n"))
+
+
+def linked_match(names: DataFrame, targets: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
+    """The first mention of each target among a document's names: equal when normalised, or one holds the other without regard to case."""
+    j = names.join(targets, key)
+    n, t = text.normalize("name"), text.normalize("target")
+    a, b = F.lower("name"), F.lower("target")
+    return top_k(j.where((n == t) | F.contains(a, b) | F.contains(b, a)), key, order, 1).drop("rank")

@@ -45,3 +45,9 @@ def paired_t(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """One row: n, mean difference, t of the paired test; null with fewer than two pairs or no spread."""
     g = pairs.agg(F.count("*").alias("n"), F.avg(F.col(a) - F.col(b)).alias("mean_diff"), F.stddev_samp(F.col(a) - F.col(b)).alias("sd"))
     return g.select("n", "mean_diff", F.when(F.col("sd") > 0, F.col("mean_diff") / (F.col("sd") / F.sqrt("n"))).alias("t"))
+
+
+def predictions(mentions: DataFrame, run: DataFrame, ids: DataFrame, key: str = "entity_id") -> DataFrame:
+    """(mention_id, kb_id): the best result's first id by an id map (key, ids comma-separated); null without results or ids."""
+    best = run.where("rank = 1").join(ids, key, "left").select("mention_id", F.nullif(F.split("ids", ",")[0], F.lit("")).alias("kb_id"))
+    return mentions.select("mention_id").join(best, "mention_id", "left")

@@ -112,3 +112,17 @@ def mask(pos: DataFrame, windows: DataFrame, key: str) -> DataFrame:
     """
     inside = pos.join(windows, [key]).where("pos >= begin and pos < end").select(key, "pos", "term").distinct()
     return inside.withColumn("new_pos", (F.row_number().over(Window.partitionBy(key).orderBy("pos")) - 1).cast("long"))
+
+
+def clip(tags: DataFrame, windows: DataFrame, key: str) -> DataFrame:
+    """Tags (key, name, first, last) cut to an entity's windows (key, begin, end), half-open; what lies outside goes."""
+    j = tags.join(windows, key).where("last >= begin and first < end")
+    return j.select(key, "name", F.greatest("first", "begin").alias("first"), F.least("last", F.col("end") - 1).alias("last"))
+
+
+def neighborhood(links: DataFrame) -> DataFrame:
+    """(entity, dest, out, in, shared) of linked pairs, self links and ignored titles apart: whether the pair is linked either way, and by how many others to both."""
+    own = links.where((F.col("dest") != F.col("entity")) & ~text.ignored_title(F.col("dest")) & ~text.ignored_title(F.col("entity"))).select("entity", "dest").distinct()
+    back = own.select(F.col("dest").alias("entity"), F.col("entity").alias("dest"))
+    both = own.withColumns({"out": F.lit(1), "in": F.lit(0)}).unionByName(back.withColumns({"out": F.lit(0), "in": F.lit(1)})).groupBy("entity", "dest").agg(F.max("out").alias("out"), F.max("in").alias("in"))
+    return both.join(shared_sources(own).withColumn("shared", F.col("shared").cast("long")), ["entity", "dest"], "left").fillna(0, ["shared"])

@@ -51,6 +51,11 @@ def assemble(df: DataFrame, names: Sequence[str], rank: str = "rank", score: str
     return df.withColumn("vector", F.array(*cells, 1.0 / (F.col(rank) + 1.0), F.col(score)))
 
 
+def binary_names(name: Column, value: Column) -> Column:
+    """The one-hot name of a feature's value; NaN or infinity is an error."""
+    return F.concat_ws("=", name, sound(value.cast("double")).cast("string"))
+
+
 def svm_line(target: Column, query: Column, vector: Column, comment: Column, digits: int = 6) -> Column:
     """``target qid:query 1:v ... # comment``."""
     cells = F.transform(vector, lambda v, i: F.concat((i + 1).cast("string"), F.lit(":"), F.format_string(f"%.{digits}f", v)))

@@ -47,7 +47,7 @@ def tfidf(both: DataFrame, stats: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def divergences(both: DataFrame, background: DataFrame, tokens: float, a: str, b: str, mu: float = 2000.0, most: float = 100.0) -> DataFrame:
-    """kl, js, jaccard of the language models of each pair, the divergences at most ``most``.
+    """kl, js, jaccard, cosine of the language models of each pair, the divergences at most ``most``.
 
     kl: of the left model from the right one, smoothed with ``mu`` of the background
     (term, cf); a term that the background lacks counts once there. js: of the plain
@@ -65,5 +65,7 @@ def divergences(both: DataFrame, background: DataFrame, tokens: float, a: str, b
         F.sum(part(p, mid) / 2 + part(q, mid) / 2).alias("js"),
         F.sum(F.when((F.col("m") > 0) & (F.col("e") > 0), 1).otherwise(0)).alias("i"),
         F.count("*").alias("u"),
+        *(F.sum(x.cast("double") * y).alias(n) for n, x, y in (("me", F.col("m"), F.col("e")), ("mm", F.col("m"), F.col("m")), ("ee", F.col("e"), F.col("e")))),
     )
-    return g.select(a, b, F.least("kl", F.lit(most)).alias("kl"), F.least("js", F.lit(most)).alias("js"), (F.col("i") / F.col("u")).alias("jaccard"))
+    cosine = F.when(F.col("mm") * F.col("ee") == 0, 0.0).otherwise(F.col("me") / (F.sqrt("mm") * F.sqrt("ee")))
+    return g.select(a, b, F.least("kl", F.lit(most)).alias("kl"), F.least("js", F.lit(most)).alias("js"), (F.col("i") / F.col("u")).alias("jaccard"), cosine.alias("cosine"))

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from larkspan import catalogue
-from larkspan.catalogue import collections, entities, graph, judging, learning, retrieval, sequences, strings
+from larkspan.catalogue import collections, details, entities, graph, judging, learning, retrieval, sequences, strings
 
-MODULES = (strings, retrieval, graph, learning, judging, collections, entities, sequences)
+MODULES = (strings, retrieval, graph, learning, judging, collections, entities, sequences, details)
 Builder = catalogue.Builder
 
 

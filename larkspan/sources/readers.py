@@ -67,6 +67,33 @@ def paragraph_text(html: Column) -> Column:
     return F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)(?=</p>|<p[\s>]|$)"), F.lit(1)), lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, "<[^>]*>", " "), r"\s+", " ")))
 
 
+def paragraph_tokens(html: Column) -> Column:
+    """Normalised words of the paragraphs of HTML."""
+    return text.tokens(F.array_join(paragraph_text(html), " "))
+
+
+def strict_paragraph_text(xhtml: Column) -> Column:
+    """Texts of the paragraphs of well-formed XHTML; anything else is an error."""
+    return F.transform(F.xpath(xhtml, F.lit("//p//text()")), lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")))
+
+
+def plain_documents(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id (base name before the first dot), text of plain files; those that end in .gz are unpacked by Spark's reader."""
+    d = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return d.select(F.regexp_extract("path", r"([^/.]+)[^/]*$", 1).alias("doc_id"), F.col("value").alias("text"))
+
+
+def exact_fields(line: Column, n: int, pattern: str = "\t") -> Column:
+    """The fields of a line, or an error if they aren't ``n``."""
+    f = F.split(line, pattern, -1)
+    return F.when(F.size(f) == n, f).otherwise(F.raise_error(F.concat(F.lit(f"not {n} fields: "), line)).cast("array<string>"))
+
+
+def features(spark: SparkSession, path: str, mentions: DataFrame) -> DataFrame:
+    """Stored features (Parquet) of the asked mentions; those that were never stored are absent."""
+    return spark.read.parquet(path).join(mentions.select("mention_id").distinct(), "mention_id", "left_semi")
+
+
 def term_vector(x: Column) -> Column:
     return text.content_tokens(x)
 

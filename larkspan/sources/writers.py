@@ -44,6 +44,22 @@ def write_linked(df: DataFrame, path: str) -> None:
     df.write.format("xml").option("rootTag", "mentions").option("rowTag", "mention").mode("overwrite").save(path)
 
 
+def write_table(df: DataFrame, path: str) -> None:
+    """Rankings, answer distributions, accuracies: tab-separated with a header line."""
+    df.write.option("sep", "\t").option("header", True).mode("overwrite").csv(path)
+
+
+def linked(run: DataFrame, names: DataFrame) -> DataFrame:
+    """(mention_id, name, candidate: best first, raw: all ids) for ``write_linked``."""
+    held = run.groupBy("mention_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("entity_id").alias("id"), "score"))).alias("candidate"))
+    return names.select("mention_id", "name").join(held, "mention_id", "left").withColumn("raw", F.transform("candidate", lambda c: c["id"]))
+
+
+def corpus_files(df: DataFrame, suffixes: tuple[str, ...] = ("sgm", "giga"), path: str = "path") -> DataFrame:
+    """The files of a listing whose name has one of the suffixes."""
+    return df.where(F.regexp_extract(path, r"\.([^./]+)$", 1).isin(*suffixes))
+
+
 def repack(df: DataFrame, path: str, files: int = 10_000) -> None:
     """Documents of a corpus, ``files`` to an output file."""
     df.write.option("maxRecordsPerFile", files).mode("overwrite").text(path)
