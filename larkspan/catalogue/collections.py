@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larkspan.catalogue import query, r6
+from larkspan.catalogue import query, r6, stops
 from larkspan.functions import logs
 from larkspan.operators import context, distributions, ranking
 from larkspan.plans import views
@@ -120,7 +120,11 @@ def sentence_filter(spark, d):
     return s.where(F.contains("text", F.lit(" the ")) & F.col("text").rlike("[A-Z]")).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("sentence").cast("long").alias("first"))
 
 
-@query()
+@query(rf"""WITH c AS (SELECT conv_id||':'||turn AS id, string_split(text,'.') AS p FROM conversations), s AS (SELECT id, sentence, piece, sum(length(piece)+1) OVER (PARTITION BY id ORDER BY sentence)-length(piece)-1 AS base FROM (SELECT id, unnest(range(0,len(p))) AS sentence, unnest(p) AS piece FROM c)),
+w AS (SELECT id, sentence, unnest(range(1,len(t)+1)) AS i, unnest(t) AS token FROM (SELECT id, sentence, regexp_split_to_array(piece,'[^\p{{L}}\p{{Nd}}]') AS t FROM s)), o AS (SELECT *, sum(length(token)+1) OVER (PARTITION BY id, sentence ORDER BY i)-length(token)-1 AS b FROM w),
+t AS (SELECT *, row_number() OVER (PARTITION BY id, sentence ORDER BY b) AS pos, lower(token) IN {stops()} AS common, regexp_matches(token,'^\p{{Lu}}') AND lower(token) NOT IN {stops()} AS proper FROM o WHERE length(token)>=2),
+r AS (SELECT *, pos-row_number() OVER (PARTITION BY id, sentence ORDER BY pos) AS run FROM t WHERE proper OR common), e AS (SELECT id, sentence, run, min(CASE WHEN proper THEN b END) AS x, max(CASE WHEN proper THEN b+length(token) END) AS y, max(CASE WHEN proper THEN pos END)-min(CASE WHEN proper THEN pos END)+1 AS n FROM r GROUP BY ALL)
+SELECT id, substr(piece, x::INT+1, (y-x)::INT) AS name, (base+x)::BIGINT AS "begin", (base+y)::BIGINT AS "end" FROM e JOIN s USING (id, sentence) WHERE n<=6""")
 def fallback_ner(spark, d):
     c = views.table(spark, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
     return context.fallback_names(c, "id", "text")

@@ -15,7 +15,7 @@ from pyspark.sql.types import DoubleType, LongType
 def _padded(texts: list[str], fill: int) -> tuple[np.ndarray, np.ndarray]:
     """Code points of each text, a row each, and their numbers."""
     n = np.array(list(map(len, texts)), dtype=np.int64)
-    out = np.full((len(texts), int(n.max(initial=0))), fill, dtype=np.int64)
+    out = np.full((len(texts), int(n.max(initial=1))), fill, dtype=np.int64)
     for i, t in enumerate(texts):
         out[i, : len(t)] = list(map(ord, t))
     return out, n

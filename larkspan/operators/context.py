@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,51 +14,28 @@ from larkspan.functions import text
 from larkspan.functions.text import STOP_WORDS
 from larkspan.operators.ranking import islands, top_k
 
-_WORD = re.compile(r"[^\W_]{2,}")
 _STOP = frozenset(STOP_WORDS)
 
 
-def names_of(doc: str, longest: int = 6) -> list[tuple[str, int, int]]:
-    """Fallback recogniser: runs of capitalised words, common words allowed inside, in one sentence; (text, begin, end).
+def fallback_names(df: DataFrame, key: str, body: str, longest: int = 6) -> DataFrame:
+    """Fallback recogniser: (key, name, begin, end) of runs of capitalised words, common words allowed inside, in one sentence.
 
     A run is trimmed to begin and end with a capitalised word that is no stop word and
-    has at most ``longest`` words.
+    has at most ``longest`` words; words of one sign are passed over. Runs are islands of
+    the words of a sentence.
     """
-    out: list[tuple[str, int, int]] = []
-    run: list[re.Match] = []
-    proper = lambda m: m[0][0].isupper() and m[0].lower() not in _STOP
-
-    def close() -> None:
-        while run and not proper(run[-1]):
-            run.pop()
-        if run and len(run) <= longest:
-            a, b = run[0].start(), run[-1].end()
-            out.append((doc[a:b], a, b))
-        run.clear()
-
-    last = 0
-    for m in _WORD.finditer(doc):
-        if "." in doc[last : m.start()]:
-            close()
-        if proper(m) or run and m[0].lower() in _STOP:
-            run.append(m)
-        else:
-            close()
-        last = m.end()
-    close()
-    return out
-
-
-def fallback_names(df: DataFrame, key: str, body: str) -> DataFrame:
-    """(key, name, begin, end) by ``names_of``, one Arrow pass, no shuffle."""
-    kind = df.schema[key].dataType.simpleString()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(k, *n) for k, t in zip(f[key], f[body], strict=True) if t for n in names_of(t)]
-            yield pd.DataFrame(rows, columns=[key, "name", "begin", "end"])
-
-    return df.select(key, body).mapInPandas(run, f"{key} {kind}, name string, begin long, end long")
+    by = [key, "sentence"]
+    s = df.select(key, F.posexplode(F.split(body, r"\.", -1)).alias("sentence", "piece"))
+    size = F.length("piece") + 1
+    s = s.withColumn("base", F.sum(size).over(Window.partitionBy(key).orderBy("sentence").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - size)
+    common = text.is_stop(F.lower("token"))
+    t = token_offsets(s, by, "piece").withColumns({"proper": F.col("token").rlike(r"^\p{Lu}") & ~common, "pos": F.row_number().over(Window.partitionBy(*by).orderBy("begin"))})
+    inside = t.where(F.col("proper") | common)
+    run = inside.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy(*by).orderBy("pos")))
+    at = lambda x: F.when(F.col("proper"), x)
+    ends = run.groupBy(*by, "run").agg(F.min(at(F.col("begin"))).alias("a"), F.max(at(F.col("begin") + F.length("token"))).alias("b"), (F.max(at(F.col("pos"))) - F.min(at(F.col("pos"))) + 1).alias("n"))
+    j = ends.where(F.col("a").isNotNull() & (F.col("n") <= longest)).join(s, by)
+    return j.select(key, F.substring("piece", F.col("a").cast("int") + 1, (F.col("b") - F.col("a")).cast("int")).alias("name"), (F.col("base") + F.col("a")).alias("begin"), (F.col("base") + F.col("b")).alias("end"))
 
 
 def variants_of(name: str, others: list[str]) -> list[str]:

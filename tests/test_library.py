@@ -1,6 +1,7 @@
 """Functions, readers and flows on hand-checked values."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import Window
@@ -62,8 +63,38 @@ def test_ranking(spark):
         distributions.check(keys, "key", "key").collect()
 
 
-def test_names():
-    assert [n[0] for n in context.names_of("the Bank of England said. Then London rose")] == ["Bank of England", "London"]
+def plain_names(doc, longest=6):
+    """One document, word by word."""
+    out, run, last = [], [], 0
+    stop = set(text.STOP_WORDS)
+    proper = lambda m: m[0][0].isupper() and m[0].lower() not in stop
+
+    def close():
+        while run and not proper(run[-1]):
+            run.pop()
+        if run and len(run) <= longest:
+            out.append((doc[run[0].start() : run[-1].end()], run[0].start(), run[-1].end()))
+        run.clear()
+
+    for m in re.finditer(r"[^\W_]{2,}", doc):
+        if "." in doc[last : m.start()]:
+            close()
+        if proper(m) or run and m[0].lower() in stop:
+            run.append(m)
+        else:
+            close()
+        last = m.end()
+    close()
+    return out
+
+
+def test_names(spark):
+    docs = ["the Bank of England said. Then London rose", "In A of The West. X", "", "One Two Three Four Five Six Seven", "Old York.New York of", None]
+    docs += [r.text for r in views.table(spark, SF, "conversations").select("text").collect()]
+    df = spark.createDataFrame(list(enumerate(docs)), "k int, t string")
+    got = sorted((r.k, r.name, r.begin, r.end) for r in context.fallback_names(df, "k", "t").collect())
+    assert got == sorted((k, *n) for k, d in enumerate(docs) if d for n in plain_names(d))
+    assert ("Bank of England" in {g[1] for g in got}) and len(got) > 50
     assert context.variants_of("ACLU", ["American Civil Liberties Union"]) == ["American Civil Liberties Union"]
     assert context.variants_of("D.C. Park", ["Old D.C. Park East"]) == ["D C Park", "Old D.C. Park East"]
 
@@ -129,3 +160,116 @@ def test_entry_imports_without_a_session():
     root = pathlib.Path(__file__).parent.parent
     code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=60)
+
+
+def test_more_text(spark):
+    got = one(
+        spark, deep=text.strip_parentheses(F.lit("a (b (c (d (e (f) g) h) i) j) k")), open=text.strip_parentheses(F.lit("a (b")), stray=text.strip_parentheses(F.lit("a) b (c) d")), none=text.strip_parentheses(F.lit("abc")),
+        place=text.place_name(F.lit("N.Y.")), nowhere=text.place_name(F.lit("zz")), stem=text.stem(F.lit("linking")), short=text.stem(F.lit("red")), spam=text.spam_anchor(F.lit("Quelle hier")), day=text.neighbor_name(F.lit("Monday")),
+    )
+    assert got == {"deep": "a  k", "open": "a ", "stray": "a)(c)", "none": "abc", "place": "New_York", "nowhere": None, "stem": "link", "short": "red", "spam": True, "day": False}
+    assert len(text.SPAM_WORDS) == 25 and len(text.places()) == 78
+
+
+def test_edits_walk_batches_like_pairs():
+    import random
+
+    rnd = random.Random(2)
+    words = ["".join(rnd.choices("abc", k=rnd.randint(0, 7))) for _ in range(120)]
+    a, b = words, words[::-1]
+
+    def plain(x, y):
+        last, far = {}, len(x) + len(y)
+        d = {(-1, -1): far}
+        for i in range(len(x) + 1):
+            d[i, -1], d[i, 0] = far, i
+        for j in range(len(y) + 1):
+            d[-1, j], d[0, j] = far, j
+        for i in range(1, len(x) + 1):
+            row = 0
+            for j in range(1, len(y) + 1):
+                k, m = last.get(y[j - 1], 0), row
+                same = x[i - 1] == y[j - 1]
+                d[i, j] = min(d[i - 1, j - 1] + (not same), d[i, j - 1] + 1, d[i - 1, j] + 1, d[k - 1, m - 1] + (i - k - 1) + 1 + (j - m - 1))
+                row = j if same else row
+            last[x[i - 1]] = i
+        return d[len(x), len(y)]
+
+    assert edits.damerau_all(a, b).tolist() == [plain(x, y) for x, y in zip(a, b)]
+    assert [edits.jaro_winkler(x, y) for x, y in zip(a, b)] == pytest.approx(edits.jaro_winkler_all(a, b).tolist())
+
+
+def test_settings_and_providers(spark, tmp_path):
+    from larkspan.sources.config import Providers, Settings
+
+    (tmp_path / "default.properties").write_text("mu = 1000\n")
+    (tmp_path / "ann.properties").write_text("# own\nmu = 96400  # large\ncandidates = 7\n")
+    assert Settings.read(str(tmp_path), "bob", "h1") == Settings(mu=1000.0)
+    own = Settings.read(str(tmp_path), "ann", "h1")
+    assert (own.mu, own.candidates, own.nil_threshold) == (96400.0, 7, -10.0)
+    own.apply(spark)
+    assert spark.conf.get("larkspan.candidates") == "7"
+    (tmp_path / "bob.properties").write_text("nonsense = 1\n")
+    with pytest.raises(ValueError):
+        Settings.read(str(tmp_path), "bob", "h1")
+    opened = []
+    p = Providers(kb=lambda: opened.append(1) or spark.range(3), default=lambda: spark.range(1))
+    assert (p["kb"].count(), p["kb"].count(), p["other"].count(), len(opened)) == (3, 3, 1, 1)
+    p.views()
+    assert spark.sql("SELECT count(*) FROM kb").first()[0] == 3
+
+
+def test_documents_by_id(spark):
+    from larkspan.operators import retrieve
+
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    ids = spark.createDataFrame([(2,), (9,)], "doc_id long")
+    assert [r.text for r in retrieve.fetch(docs, ids).collect()] == ["b"]
+    with pytest.raises(Exception, match="no such document: 9"):
+        retrieve.fetch(docs, ids, missing="error").collect()
+    light = retrieve.without_payload(docs, "text")
+    assert light.columns == ["doc_id"] and retrieve.with_payload(light.where("doc_id = 1"), docs, "doc_id", "text").first().text == "a"
+
+
+def test_index_is_written_once(spark):
+    ix = views.kb_index(spark, SF)
+    assert views.kb_index(spark, SF) is ix
+    assert ix.articles.select(F.sum("len")).first()[0] == ix.stats.select(F.sum("cf")).first()[0] == ix.collection[0]
+    calls = []
+    for _ in range(2):
+        ix.keep("probe", lambda: calls.append(1) or spark.range(2))
+    assert len(calls) == 1
+
+
+def test_training(spark):
+    import random
+
+    rnd = random.Random(1)
+    rows = [(m, e, [float(e == m % 5), rnd.random()], float(e == m % 5)) for m in range(60) for e in range(5)]
+    model, mean = rank.train(spark.createDataFrame(rows, "mention_id long, entity_id long, vector array<double>, label double"), trees=3)
+    assert mean > 0.95 and model.getNumTrees == 3
+
+
+def test_more_readers_and_writers(spark, tmp_path):
+    import gzip
+
+    with gzip.open(tmp_path / "d1.txt.gz", "wt") as f:
+        f.write("plain text")
+    assert [tuple(r) for r in readers.plain_documents(spark, str(tmp_path / "d1.txt.gz")).collect()] == [("d1", "plain text")]
+    got = one(spark, words=readers.paragraph_tokens(F.lit("<p>One <b>two</b><p>three")), strict=readers.strict_paragraph_text(F.lit("<d><p>a  b</p><p>c</p></d>")), f=readers.exact_fields(F.lit("a\tb"), 2))
+    assert got == {"words": ["one", "two", "three"], "strict": ["a b", "c"], "f": ["a", "b"]}
+    with pytest.raises(Exception, match="not 3 fields"):
+        one(spark, f=readers.exact_fields(F.lit("a\tb"), 3))
+    features = spark.createDataFrame([("m1", 1), ("m2", 2)], "mention_id string, x int").withColumn("set", F.lit("s"))
+    writers.write_features(features, str(tmp_path / "f"))
+    asked = spark.createDataFrame([("m2",), ("m9",)], "mention_id string")
+    assert [r.x for r in readers.features(spark, str(tmp_path / "f"), asked).collect()] == [2]
+    files = spark.createDataFrame([("a/b.sgm",), ("a/c.xml",), ("d.giga",)], "path string")
+    assert {r.path for r in writers.corpus_files(files).collect()} == {"a/b.sgm", "d.giga"}
+    run = spark.createDataFrame([("m1", 2, 2, 0.5), ("m1", 1, 1, 0.9)], "mention_id string, entity_id long, rank int, score double")
+    linked = writers.linked(run, spark.createDataFrame([("m1", "A"), ("m2", "B")], "mention_id string, name string"))
+    assert {r.mention_id: r.raw for r in linked.collect()} == {"m1": [1, 2], "m2": None}
+    writers.write_linked(linked.drop("raw"), str(tmp_path / "x"))
+    writers.write_table(run, str(tmp_path / "t"))
+    assert spark.read.option("header", True).option("sep", "\t").csv(str(tmp_path / "t")).count() == 2
+    assert one(spark, b=rank.binary_names(F.lit("f"), F.lit(1)))["b"] == "f=1.0"
