@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,6 +89,16 @@ def forget(spark: SparkSession, *paths: str) -> None:
         _WRITTEN.pop(path, None)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of plans that are no longer held.
+
+    It does so once the driver's collector has found their handles, which after a few large
+    steps would be too late.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @atexit.register
 def _forget_all() -> None:
     for path, spark in list(_WRITTEN.items()):
@@ -123,6 +135,48 @@ def map_columns(df: DataFrame, schema: str | T.StructType, fn: Callable[[Iterato
     return df.mapInArrow(run, out)
 
 
+def groups(names: tuple[str, ...], least: int, work: Callable[[dict[str, list]], Iterator[tuple]]):
+    """An Arrow map over rows sorted by their first column, key: ``work`` gets whole groups, several at a time."""
+
+    def run(frames):
+        held: dict[str, list] = {k: [] for k in names}
+        for columns in frames:
+            for name, values in zip(names, columns, strict=True):
+                held[name] += values
+            key = held[names[0]]
+            if len(key) >= least:
+                whole = int(np.searchsorted(np.array(key, dtype=np.int64), key[-1]))
+                if whole:
+                    yield from work({k: v[:whole] for k, v in held.items()})
+                    held = {k: v[whole:] for k, v in held.items()}
+        if held[names[0]]:
+            yield from work(held)
+
+    return run
+
+
+def runs(key: list[int]) -> Iterator[tuple[int, int]]:
+    k = np.array(key, dtype=np.int64)
+    starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    return zip(starts.tolist(), [*starts[1:].tolist(), len(k)], strict=True)
+
+
+def facing(side: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Which rows of a group are held against which: a chunk against itself, or one against the other."""
+    lower, upper, whole = (np.flatnonzero(side == x) for x in (0, 1, 2))
+    return [(a, b) for a, b in ((whole, whole), (lower, upper)) if len(a) and len(b)]
+
+
+def dealt_out(rows: DataFrame, node: str, block: int) -> DataFrame:
+    """Rows with a ``list`` get the key of each group that they meet others in, and their side there; sorted by key."""
+    sizes = rows.groupBy("list").agg(F.count("*").alias("m")).where("m > 1")
+    met = rows.join(sizes, "list").withColumn("c", F.ceil(F.col("m") / block).cast("int")).withColumn("i", F.pmod(F.xxhash64(node), F.col("c")).cast("int"))
+    dealt = met.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    key = F.when(F.col("c") == 1, F.col("list")).otherwise(F.xxhash64("list", F.least("i", "j"), F.greatest("i", "j")))
+    side = F.when(F.col("i") == F.col("j"), 2).when(F.col("i") > F.col("j"), 1).otherwise(0)
+    return dealt.select(key.alias("key"), side.alias("side"), *rows.columns).repartition("key").sortWithinPartitions("key")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
     """Connected components of an undirected edge list of longs: (node, component).
 

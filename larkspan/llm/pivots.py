@@ -33,14 +33,14 @@ null id are returned with no links and a null component. Other columns are ignor
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.common import components, map_columns, materialise, quoted, small_batches
+from larkspan.llm.common import components, dealt_out, facing, groups, map_columns, materialise, quoted, runs, small_batches
 from larkspan.llm.simhash import Forest, least_labels
 
 #: Least and greatest number of pivots; between them twice the square root of the number of vectors.
@@ -100,38 +100,6 @@ def lists(perms: np.ndarray) -> np.ndarray:
     return np.where(pairs[:, :, 0] >= 0, pairs[:, :, 0] * MOST + pairs[:, :, 1], -1)
 
 
-def groups(names: tuple[str, ...], least: int, work: Callable[[dict[str, list]], Iterator[tuple]]):
-    """An Arrow map over rows sorted by their first column, key: ``work`` gets whole groups, several at a time."""
-
-    def run(frames):
-        held: dict[str, list] = {k: [] for k in names}
-        for columns in frames:
-            for name, values in zip(names, columns, strict=True):
-                held[name] += values
-            key = held[names[0]]
-            if len(key) >= least:
-                whole = int(np.searchsorted(np.array(key, dtype=np.int64), key[-1]))
-                if whole:
-                    yield from work({k: v[:whole] for k, v in held.items()})
-                    held = {k: v[whole:] for k, v in held.items()}
-        if held[names[0]]:
-            yield from work(held)
-
-    return run
-
-
-def _runs(key: list[int]) -> Iterator[tuple[int, int]]:
-    k = np.array(key, dtype=np.int64)
-    starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-    return zip(starts.tolist(), [*starts[1:].tolist(), len(k)], strict=True)
-
-
-def _met(side: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Which rows of a group are held against which: a chunk against itself, or one against the other."""
-    lower, upper, whole = (np.flatnonzero(side == x) for x in (0, 1, 2))
-    return [(a, b) for a, b in ((whole, whole), (lower, upper)) if len(a) and len(b)]
-
-
 def _staying(c: dict[str, list]) -> Iterator[tuple]:
     """(list, node) of the rows whose sketch is near another's of the group."""
     key, node, side, where = (np.array(c[k], dtype=np.int64) for k in ("key", "node", "side", "list"))
@@ -150,7 +118,7 @@ def _staying(c: dict[str, list]) -> Iterator[tuple]:
     for a, n in zip(starts.tolist(), sizes.tolist(), strict=True):
         if short[a]:
             continue
-        for left, right in _met(side[a : a + n]):
+        for left, right in facing(side[a : a + n]):
             for i in range(0, len(left), 512):
                 p, q = left[i : i + 512] + a, right + a
                 near = (np.bitwise_count(code[p][:, None] ^ code[q][None, :]) <= BITS) & (p[:, None] != q[None, :])
@@ -182,14 +150,14 @@ def linked(unit: np.ndarray, node: np.ndarray, perms: np.ndarray, first: int, se
 def _verified(threshold: float):
     def work(c: dict[str, list]) -> Iterator[tuple]:
         forest, counts = Forest(), {}
-        for a, b in _runs(c["key"]):
+        for a, b in runs(c["key"]):
             if b - a < 2:
                 continue
             node, n, side = (np.array(c[k][a:b]) for k in ("node", "n", "side"))
             x, perms = np.array(c["vector"][a:b], dtype=np.float64), np.array(c["perm"][a:b], dtype=np.int64)
             unit = x / np.linalg.norm(x, axis=1, keepdims=True)
             first, second = divmod(c["number"][a], MOST)
-            found = list(linked(unit, node, perms, first, second, threshold, _met(side)))
+            found = list(linked(unit, node, perms, first, second, threshold, facing(side)))
             i, j = (np.concatenate(p) for p in zip((np.zeros(0, dtype=np.int64),) * 2, *found, strict=True))
             total = np.bincount(i, weights=n[j], minlength=b - a) + np.bincount(j, weights=n[i], minlength=b - a)
             least = least_labels(b - a, [(i, j)])
@@ -203,16 +171,6 @@ def _verified(threshold: float):
     return work
 
 
-def _dealt(rows: DataFrame, block: int) -> DataFrame:
-    """Rows with a ``list`` get the key of each group that they meet others in, and their side there; sorted by key."""
-    sizes = rows.groupBy("list").agg(F.count("*").alias("m")).where("m > 1")
-    met = rows.join(sizes, "list").withColumn("c", F.ceil(F.col("m") / block).cast("int")).withColumn("i", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
-    dealt = met.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-    key = F.when(F.col("c") == 1, F.col("list")).otherwise(F.xxhash64("list", F.least("i", "j"), F.greatest("i", "j")))
-    side = F.when(F.col("i") == F.col("j"), 2).when(F.col("i") > F.col("j"), 1).otherwise(0)
-    return dealt.select(key.alias("key"), side.alias("side"), *rows.columns).repartition("key").sortWithinPartitions("key")
-
-
 def near_vectors(df: DataFrame, vector: str = "embedding", key: str = "vec_id", label: str = "label", threshold: float = 0.98, pivots: int | None = None, block: int = BLOCK) -> DataFrame:
     """Per row: key, n_links, component_id, kept. ``pivots``: their number, else ``pivot_number``."""
     small_batches(df.sparkSession)
@@ -251,11 +209,11 @@ def _links(classes: DataFrame, chosen: np.ndarray, threshold: float, block: int)
     described = map_columns(classes.select("vector", "node"), "node long, perm array<int>, code long, numbers array<long>", describe)
     described, _ = materialise(described.join(classes.select("node", "n", F.xxhash64("label", F.size("vector")).alias("kind")), "node"))
     listed = described.select("node", "code", "kind", F.explode(F.array_distinct("numbers")).alias("number")).where("number >= 0").select(F.xxhash64("kind", "number").alias("list"), "node", "code")
-    near = _dealt(listed, block).select("key", "side", "list", "node", "code")
+    near = dealt_out(listed, "node", block).select("key", "side", "list", "node", "code")
     stays, _ = materialise(map_columns(near, "list long, node long", groups(("key", "side", "list", "node", "code"), 8192, _staying)).distinct())
     rows = described.select("node", "n", "perm", "kind", F.explode(F.array_distinct("numbers")).alias("number")).withColumn("list", F.xxhash64("kind", "number"))
     rows = stays.join(rows, ["node", "list"]).join(classes.select("node", "vector"), "node").select("list", "number", "node", "n", "perm", "vector")
-    dealt = _dealt(rows, block).select("key", "side", "number", "node", "n", "perm", "vector")
+    dealt = dealt_out(rows, "node", block).select("key", "side", "number", "node", "n", "perm", "vector")
     found, _ = materialise(map_columns(dealt, "node long, links long, root long", groups(("key", "side", "number", "node", "n", "perm", "vector"), 2048, _verified(threshold))))
     joined = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     totals = found.groupBy("node").agg(F.sum("links").alias("n_links"))

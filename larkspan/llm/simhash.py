@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspan.llm.common import components, map_columns, materialise, packed, quoted, small_batches, unpacked
+from larkspan.llm.common import components, dealt_out, facing, groups, map_columns, materialise, packed, quoted, runs, small_batches, unpacked
 
 #: The five blocks of bits (first bit, width), and the radius that they serve.
 BLOCKS, RADIUS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12)), 3
@@ -257,22 +257,68 @@ def _verify(pairs: DataFrame, texts: DataFrame, alike: float) -> DataFrame:
     return found
 
 
-def alike_links(prints: DataFrame, texts: DataFrame, alike: float = ALIKE) -> DataFrame:
+def alike_links(prints: DataFrame, texts: DataFrame, alike: float = ALIKE, block: int = 1024) -> DataFrame:
     """Edges (a, b) over texts whose Jaccard coefficient is ``alike`` or more, from (h, bands) and (h, t)."""
     rows = prints.groupBy("h").agg(F.min("bands").alias("bands")).select("h", F.explode("bands").alias("key"))
     first = rows.groupBy("key").agg(F.min("h").alias("first"), F.max("h").alias("last")).where("first < last").select("key", "first")
     met, _ = materialise(rows.join(first, "key"))
     star, _ = materialise(met.where("h <> first").select(F.col("first").alias("a"), F.col("h").alias("b")).distinct())
     found = _verify(star, texts, alike)
-    # pairs of one bucket that are not yet of one component
+    # of each bucket, the texts that are not yet of one component
     part = met.join(components(found), met["h"] == F.col("node"), "left").select("key", "h", F.coalesce("component", "h").alias("part"))
     part, _ = materialise(part)
     open_ = part.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
     left, _ = materialise(part.join(open_, "key"))
-    other = left.select("key", F.col("h").alias("b"), F.col("part").alias("other"))
-    rest = left.withColumnRenamed("h", "a").join(other, "key").where("a < b and part <> other").select("a", "b").distinct()
-    rest, _ = materialise(rest.join(star, ["a", "b"], "left_anti"))
-    return found.union(_verify(rest, texts, alike))
+
+    def described(batches):
+        for hs, ts in batches:
+            yield hs, [wide_shingles(t).tobytes() for t in ts]
+
+    used = texts.join(left.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min("t").alias("t"))
+    held, _ = materialise(map_columns(used, "h long, s binary", described))
+    dealt = dealt_out(left.withColumnRenamed("key", "list"), "h", block).join(held, "h").select("key", "side", "h", "part", "s")
+    dealt = dealt.repartition("key").sortWithinPartitions("key")
+    more = map_columns(dealt, "a long, b long", groups(("key", "side", "h", "part", "s"), 512, _alike(alike)))
+    return found.union(more.distinct())
+
+
+def overlaps(sets: list[np.ndarray], rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of ``rows``, the sizes of its intersections with all sets, through the lists of sets that hold an element."""
+    sizes = np.array([len(s) for s in sets])
+    _, element = np.unique(np.concatenate(sets), return_inverse=True)
+    of = np.repeat(np.arange(len(sets)), sizes)[np.argsort(element, kind="stable")]
+    counts = np.bincount(element)
+    starts, first = np.cumsum(counts) - counts, np.cumsum(sizes) - sizes
+    for i in rows.tolist():
+        own = element[first[i] : first[i] + sizes[i]]
+        n = counts[own]
+        at = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        yield i, np.bincount(of[at], minlength=len(sets))
+
+
+def _alike(alike: float):
+    def work(c: dict[str, list]) -> Iterator[tuple]:
+        forest = Forest()
+        for a, b in runs(c["key"]):
+            part, side = (np.array(c[k][a:b], dtype=np.int64) for k in ("part", "side"))
+            if b - a < 2 or (part == part[0]).all():
+                continue
+            sets = [np.frombuffer(x, dtype="<u8") for x in c["s"][a:b]]
+            sizes = np.array([len(s) for s in sets])
+            pairs = []
+            for left, right in facing(side):
+                ok = np.zeros(b - a, dtype=bool)
+                ok[right] = True
+                for i, both in overlaps(sets, left):
+                    j = np.flatnonzero(ok & (both >= alike * (sizes + sizes[i] - both)) & (part != part[i]))
+                    pairs.append((np.full(len(j), i), j))
+            least = least_labels(b - a, pairs)
+            for y in np.flatnonzero(least != np.arange(b - a)).tolist():
+                forest.join(c["h"][a + y], c["h"][a + int(least[y])])
+        made = forest.edges()
+        yield [x for x, _ in made], [y for _, y in made]
+
+    return work
 
 
 def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS, alike: float = ALIKE) -> DataFrame:

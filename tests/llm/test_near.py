@@ -68,6 +68,33 @@ def test_simhash_hot_key(spark):
     assert {i: got.get(i, i) for i in range(len(a))} == want
 
 
+def test_overlaps():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))).astype(np.uint64) for _ in range(30)]
+    for i, n in simhash.overlaps(sets, np.arange(30)):
+        assert n.tolist() == [len(np.intersect1d(sets[i], s)) for s in sets]
+
+
+@pytest.mark.parametrize("block", [1024, 16])
+def test_alike_in_blocks(spark, block):
+    """One bucket for very many texts of which few are alike: links between any two are found, in blocks too."""
+    rnd = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for k in range(70):
+        w = list(base)
+        for i in rnd.sample(range(60), rnd.choice((0, 1, 3, 6))):
+            w[i] = f"x{rnd.randint(0, 9)}"
+        rows.append((k, " ".join(w)))
+    sets = {h: {tuple(t.split()[i : i + 5]) for i in range(56)} for h, t in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    texts = spark.createDataFrame(rows, "h long, t string")
+    prints = texts.select("h", F.array(F.lit(7), F.col("h") % 3).cast("array<long>").alias("bands"))
+    got = {r.node: r.component for r in components(simhash.alike_links(prints, texts, block=block)).collect()}
+    assert {h: got.get(h, h) for h in sets} == brute.roots(sets, pairs)
+    assert len(pairs) < 70 * 69 / 2
+
+
 def test_keep_one_alike(spark):
     rnd = random.Random(8)
     rows = []
