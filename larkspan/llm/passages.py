@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from larkspan.llm.common import forget, materialise, packed, quoted, small_batches
+from larkspan.llm.common import forget, free_shuffles, materialise, packed, quoted, small_batches
 
 SIZE, GRAM = 50, 13
 #: Shards for each shuffle partition.
@@ -214,27 +214,33 @@ def delivered(docs: DataFrame, shards: int) -> DataFrame:
     again = counted.groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), (F.min("content") < F.max("content")).alias("mixed")).where("lo < hi").select("anchor", "mixed")
     # a table of its own: both sides of the join come straight from exchanges, so a hot anchor can be split
     again, again_path = materialise(again)
-    rec, _ = materialise(counted.join(again, "anchor"))
+    rec, rec_path = materialise(counted.join(again, "anchor"))
     forget(spark, all_path, again_path)
+    free_shuffles(spark)
     classes = rec.groupBy("anchor", "content", "mixed").agg(F.min("lo").alias("first"), F.max("hi").alias("last"))
     wanted = classes.groupBy("first").agg(F.collect_list(F.struct("anchor", "content", "mixed")).alias("want"))
     read = docs.join(wanted, docs["id"] == wanted["first"]).select("id", "t", "want")
     made = read.mapInArrow(_phrases, "id long, anchor long, content long, words binary, w1 array<long>, w2 array<long>")
     # rows that repeat an id and a text give the same phrases
     made = made.groupBy("anchor", "content").agg(F.min("id").alias("first"), F.first("words").alias("words"), F.first("w1").alias("w1"), F.first("w2").alias("w2"))
-    made, _ = materialise(made)
+    made, made_path = materialise(made)
+    free_shuffles(spark)
     words = made.select("anchor", "content", "first", "words")
     whole = rec.join(words, ["anchor", "content"]).where("hi > first").select("shard", "first", "words", F.lit(None).cast("array<int>").alias("offs"))
 
     windows = made.where("w1 is not null").select("first", "anchor", "content", F.posexplode(F.arrays_zip("w1", "w2")).alias("off", "w")).select("first", "anchor", "content", "off", "w.w1", "w.w2")
     shared, shared_path = materialise(windows.groupBy("w1", "w2").agg(F.min("first").alias("f"), F.max("first").alias("l")).where("f < l").drop("l"))
-    met, _ = materialise(windows.join(shared, ["w1", "w2"]))
+    met, met_path = materialise(windows.join(shared, ["w1", "w2"]))
     forget(spark, shared_path)
+    free_shuffles(spark)
     later = met.where("first > f").select("w1", "w2", "anchor", "content", "first")
     needed = later.join(rec.select("shard", "anchor", "content", F.col("lo").alias("first")), ["anchor", "content", "first"]).select("shard", "w1", "w2").distinct()
     home = met.where("first = f").groupBy("w1", "w2").agg(F.min(F.struct("anchor", "content", "off")).alias("at")).select("w1", "w2", "at.*")
     single = needed.join(home, ["w1", "w2"]).groupBy("shard", "anchor", "content").agg(F.collect_set("off").alias("offs")).join(words, ["anchor", "content"]).select("shard", "first", "words", "offs")
-    return whole.union(single)
+    sent, _ = materialise(whole.union(single))
+    forget(spark, rec_path, made_path, met_path)
+    free_shuffles(spark)
+    return sent
 
 
 def _shard(x, shards: int):
