@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larkspan.catalogue import KB, LINKS, MENTION, POST, RUN, norm, query, r6, stops
+from larkspan.catalogue import KB, LINKS, POST, RUN, norm, query, r6, stops
 from larkspan.catalogue.entities import _CAP, _NEXT, _names, _near, _targets
 from larkspan.catalogue.graph import _WORDLINKS, _word_links
 from larkspan.catalogue.learning import _FEATURES, name_feature_rows
