@@ -168,9 +168,13 @@ def facing(side: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def dealt_out(rows: DataFrame, node: str, block: int) -> DataFrame:
-    """Rows with a ``list`` get the key of each group that they meet others in, and their side there; sorted by key."""
+    """Rows with a ``list`` get the key of each group that they meet others in, and their side there; sorted by key.
+
+    A list of m rows is dealt to round(sqrt(m) / 8) chunks, and to more where these would be
+    longer than ``block``; each pair of chunks is a group, so that a hot list is spread.
+    """
     sizes = rows.groupBy("list").agg(F.count("*").alias("m")).where("m > 1")
-    met = rows.join(sizes, "list").withColumn("c", F.ceil(F.col("m") / block).cast("int")).withColumn("i", F.pmod(F.xxhash64(node), F.col("c")).cast("int"))
+    met = rows.join(sizes, "list").withColumn("c", F.greatest(F.lit(1), F.ceil(F.col("m") / block), F.round(F.sqrt("m") / 8)).cast("int")).withColumn("i", F.pmod(F.xxhash64(node), F.col("c")).cast("int"))
     dealt = met.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
     key = F.when(F.col("c") == 1, F.col("list")).otherwise(F.xxhash64("list", F.least("i", "j"), F.greatest("i", "j")))
     side = F.when(F.col("i") == F.col("j"), 2).when(F.col("i") > F.col("j"), 1).otherwise(0)

@@ -20,8 +20,8 @@ cosine in double precision; a pair that meets in several lists is judged in
 that of the least pivots it shares, so it is counted once.
 
 Equal vectors (by two 64-bit hashes) are merged first and carry their number, so copies
-never meet. A list longer than ``BLOCK`` is dealt to chunks by hash and each pair of
-chunks is a task group of its own; a row is copied once for each chunk of its own list.
+never meet. A long list is dealt to chunks by hash (of ``BLOCK`` rows at most) and each
+pair of chunks is a task group of its own; a row is copied once for each chunk of its own list.
 What leaves a task is one row per vector (its links found there) and a union-find
 forest, never all pairs.
 
