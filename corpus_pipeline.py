@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.llm import bpe, packing, passages, quality, secrets, simhash
-from larkspan.llm.common import fresh, materialise, quoted
+from larkspan.llm.common import forget, fresh, materialise, passing, quoted
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,6 +56,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = []
     for _, stage in STAGES[:-1]:
-        docs, _ = materialise(stage(spark, docs, sf_dir))
+        with passing(spark) as stays:
+            docs, path = materialise(stage(spark, docs, sf_dir))
+            stays.append(path)
+        forget(spark, *before)
+        before = [path]
     return STAGES[-1][1](spark, docs, sf_dir)

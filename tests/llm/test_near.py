@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
-from larkspan.llm import passages, pivots, simhash
+from larkspan.llm import common, passages, pivots, simhash
 from larkspan.llm.common import components
 
 SF = "/root/testdata/sf0.001"
@@ -126,6 +126,35 @@ def test_keep_one_alike(spark):
     assert simhash.keep_one(nameless).count() == 1
 
 
+def test_keep_one_leaves_its_choice_only(spark):
+    """Near-dedup reads the texts twice and the rows once, and leaves one scratch table of ids and hashes, so that later stages have the disk."""
+    rnd = random.Random(9)
+    rows = []
+    for _ in range(30):
+        w = [f"x{rnd.randint(0, 10**6)}" for _ in range(120)]
+        rows += [(len(rows) + i, " ".join([*w[:60], f"y{i}", *w[60:]])) for i in range(3)]
+    rows += [rows[0], rows[0], (len(rows), "alone")]
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).mapInArrow(seen, "doc_id long, text string")
+    before, limit = set(common._WRITTEN), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = simhash.keep_one(docs)
+        assert read.value == 2 * len(rows)
+        left = set(common._WRITTEN) - before
+        assert [set(spark.read.parquet(p).columns) for p in left] == [{"id", "h", "again"}]
+        for _ in range(2):
+            assert sorted(r.doc_id for r in kept.collect()) == [*range(0, 90, 3), rows[-1][0]]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 @pytest.mark.parametrize("block", [1024, 8])
 def test_vectors(spark, block):
     rng = np.random.default_rng(2)
