@@ -302,6 +302,27 @@ def test_spotsigs_near_duplicates(spark, block):
         assert spotsigs.jaccard(x, y, 0.8) == spotsigs.jaccard(x, y)
 
 
+def test_spotsigs_frequent(spark):
+    """Many texts that share a long passage and little else: its signatures are told apart, and links are those of all pairs."""
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(20000)]
+    some = lambda n: [x for _ in range(n) for x in ("the", *rnd.sample(words, 2))]
+    shared, rows = some(30), []
+    for i in range(120):
+        base = some(30) + shared
+        for edits in (0, 1)[: 1 + (i % 4 == 0)]:
+            rows.append((len(rows), " ".join([*base, *(["the", "w1", "w2"] * edits)])))
+    df = spark.createDataFrame([(spotsigs.written(spotsigs.signatures(t)),) for _, t in rows], "fp string")
+    counts = spotsigs._frequent(df)
+    passage = [s for s in spotsigs.signatures(" ".join(shared)) if all(s in spotsigs.signatures(t) for _, t in rows[:5])]
+    assert len(passage) >= 28 and min(counts[s % spotsigs.CELLS] for s in passage) >= 120
+    assert (counts > 0).sum() < 0.1 * len({s for _, t in rows for s in spotsigs.signatures(t)})
+    sets = {d: set(spotsigs.signatures(t)) for d, t in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and likeness(sets[a], sets[b]) >= 0.8]
+    got = {r.doc_id: r.component_id for r in spotsigs.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=16).collect()}
+    assert len(pairs) == 30 and got == brute.roots(sets, pairs)
+
+
 def test_quality(spark, odd):
     got = {r.doc_id: r for r in queries.op3_quality(spark, SF2).collect()}
     labels = spark.read.parquet(f"{SF2}/labels.parquet").collect()
