@@ -29,7 +29,9 @@ def _dice(a: str, b: str) -> str:
 
 @query(f"SELECT doc_id, {norm('text')} AS norm, len(list_filter({toks('text')}, lambda w: w NOT IN {stops()}))::BIGINT AS n_terms FROM documents")
 def normalize_text(spark, d):
-    return views.table(spark, d, "documents").select("doc_id", text.normalize("text").alias("norm"), F.size(text.content_tokens("text")).cast("long").alias("n_terms"))
+    n = views.table(spark, d, "documents").select("doc_id", text.normalize("text").alias("norm"))
+    # the normalised text is cut again at its blanks only
+    return n.select("doc_id", "norm", F.size(F.filter(F.split("norm", " "), lambda w: (w != "") & ~text.is_stop(w))).cast("long").alias("n_terms"))
 
 
 @query(f"""WITH {PAIRS} SELECT part_id, (a=b)::INT::DOUBLE AS exact, (a<>'' AND starts_with(a,left(b,2)))::INT::DOUBLE AS prefix, (a<>'' AND ends_with(a,right(b,3)))::INT::DOUBLE AS suffix,

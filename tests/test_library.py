@@ -314,3 +314,11 @@ def test_scores_stay_in_their_buckets(spark):
     m = views.mentions(spark, SF)
     scored = retrieval.score(spark, SF, retrieve.query(m, F.slice("terms", 1, 3)))
     assert "Exchange hashpartitioning" not in plan_of(scored) and scored.count() > 400
+
+
+def test_tokens_are_cut_in_generated_code(spark):
+    texts = ["", " ", "..", "A-b  C9", "\u00c9t\u00e9 x\n\ty.", "no", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(text.normalize("t").alias("n"), text.tokens("t").alias("w"))
+    assert "lambda" not in plan_of(df)
+    plain = [None if t is None else re.sub(r"[^a-z0-9]", " ", t.lower()).split() for t in texts]
+    assert [(r.n, r.w) for r in df.collect()] == [(w and " ".join(w) if w is None or w else "", w) for w in plain]
