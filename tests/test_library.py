@@ -357,3 +357,12 @@ def test_best_passages(spark):
                     want.setdefault((m, i), []).append((-round(sum(x * math.log(1 + held.count(t) / (20.0 * p)) for t, x, p in own), 6), begin))
     got = {(r.mention_id, r.entity_id): (-round(r.score, 6), r.begin) for r in found.collect()}
     assert got == {k: min(v) for k, v in want.items()}
+
+
+def test_evidence_is_looked_up_in_generated_code(spark):
+    plan = plan_of(views._qrels(spark, SF, views.kb_index(spark, SF)))
+    assert "lambda" not in plan and "hashpartitioning(entity_id" not in plan
+    docs = {r.doc_id: r.text for r in views.table(spark, SF, "documents").collect()}
+    asked = {r.item_id: r.text[:60] for r in views.table(spark, SF, "benchmark").collect()}
+    want = {(m, d) for m, e in asked.items() for d, t in docs.items() if e in t and len(e.split(" ")) >= 5}
+    assert want and set(map(tuple, views.qrels(spark, SF).collect())) == want
