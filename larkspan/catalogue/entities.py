@@ -198,8 +198,11 @@ def two_pass_feedback(spark, d):
     fresh = terms.withColumn("stem", text.stem(F.col("term"))).join(stems, ["mention_id", "stem"], "left_anti")
     best = top_k(fresh, "mention_id", [F.desc("weight"), F.asc("term")], 5)
     second = retrieve.two_pass(first, q, best, 0.5)
-    scored = retrieve.dirichlet(second, ix.of(second), ix.stats_of(second), ix.lengths(), ix.collection[0], MU)
-    return retrieve.best(retrieve.restrict(scored, first), 10)
+    # only entries of the first pass are scored
+    second = ix.small(second)
+    known = ix.small(retrieve.known(second, ix.stats_of(second), ix.collection[0]))
+    own = ix.lists.join(ix.small(first.select("entity_id").distinct()), "entity_id", "left_semi")
+    return retrieve.best(retrieve.restrict(retrieve.scored(known, own, MU), first), 10)
 
 
 @query(f"""WITH {RUN}, g AS (SELECT entity_id, unnest(list_concat(terms, list_transform(range(1,greatest(len(terms),1)), lambda i: terms[i]||' '||terms[i+1]))) AS gram FROM kb SEMI JOIN run USING (entity_id)), gn AS (SELECT entity_id, gram, count(*) AS n FROM g GROUP BY ALL), gc AS (SELECT *, sum(n) OVER (PARTITION BY entity_id) AS total FROM gn),

@@ -366,3 +366,10 @@ def test_evidence_is_looked_up_in_generated_code(spark):
     asked = {r.item_id: r.text[:60] for r in views.table(spark, SF, "benchmark").collect()}
     want = {(m, d) for m, e in asked.items() for d, t in docs.items() if e in t and len(e.split(" ")) >= 5}
     assert want and set(map(tuple, views.qrels(spark, SF).collect())) == want
+
+
+def test_second_pass_scores_listed_entries_only(spark):
+    from larkspan.catalogue import entities
+
+    plan = plan_of(entities.two_pass_feedback(spark, SF))
+    assert "LeftSemi" in plan and plan.count("Exchange hashpartitioning") == plan.count("Exchange hashpartitioning(mention_id")
