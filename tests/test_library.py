@@ -373,3 +373,10 @@ def test_second_pass_scores_listed_entries_only(spark):
 
     plan = plan_of(entities.two_pass_feedback(spark, SF))
     assert "LeftSemi" in plan and plan.count("Exchange hashpartitioning") == plan.count("Exchange hashpartitioning(mention_id")
+
+
+def test_frequent_grams_are_cut_where_they_lie(spark):
+    """What an article holds less than three times doesn't leave it."""
+    from larkspan.catalogue import retrieval
+
+    assert "Exchange" not in plan_of(retrieval.document_ngram_lm(spark, SF))
