@@ -314,6 +314,8 @@ def test_scores_stay_in_their_buckets(spark):
     m = views.mentions(spark, SF)
     scored = retrieval.score(spark, SF, retrieve.query(m, F.slice("terms", 1, 3)))
     assert "Exchange hashpartitioning" not in plan_of(scored) and scored.count() > 400
+    own = retrieval.unigram_lm_topk(spark, SF)
+    assert "Exchange hashpartitioning" not in plan_of(own) and own.count() > 400
 
 
 def test_tokens_are_cut_in_generated_code(spark):
